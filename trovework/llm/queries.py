@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trovework.llm import credentials
+from trovework.llm import credentials, encoding, mixing
 from trovework.session import table
 
 
@@ -18,9 +18,32 @@ def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.redact_credentials(table(spark, sf_dir, "code_chunks_vectors"))
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "ids")
+
+
+def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.decode(p6_ids(spark, sf_dir)).select("doc_id", "text")
+
+
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        # the round trip gives the texts again, "" for null
+        "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    }

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trovework.llm import credentials, encoding, mixing
+from trovework.llm import credentials, encoding, mixing, splitting, structure
 from trovework.session import table
 
 
@@ -18,6 +19,23 @@ def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.redact_credentials(table(spark, sf_dir, "code_chunks_vectors"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounds = splitting.boundaries(table(spark, sf_dir, "code_chunks_vectors"))
+    return bounds.where("member and line_no > 1").select("id", F.col("line_no").cast("int")).distinct()
+
+
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split(table(spark, sf_dir, "code_chunks_vectors"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.functions_with_docs(table(spark, sf_dir, "code_chunks_vectors"), table(spark, sf_dir, "search_results")).select("id", "func_name").distinct()
+
+
+def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.pairs(table(spark, sf_dir, "code_chunks_vectors"), table(spark, sf_dir, "search_results"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "ids")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trovework.llm import credentials, encoding, mixing, splitting, structure
+from trovework.llm import credentials, encoding, mixing, prose, splitting, structure
 from trovework.session import table
 
 
@@ -19,6 +19,19 @@ def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.redact_credentials(table(spark, sf_dir, "code_chunks_vectors"))
 
 
+def _prose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = table(spark, sf_dir, "code_chunks_vectors")
+    return prose.find_prose(chunks, prose.fit(spark, table(spark, sf_dir, "documents"), chunks))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _prose(spark, sf_dir).select("id", "line_no", "prose_lang").distinct()
+
+
+def p3_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prose.shares(table(spark, sf_dir, "code_chunks_vectors"), _prose(spark, sf_dir))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounds = splitting.boundaries(table(spark, sf_dir, "code_chunks_vectors"))
     return bounds.where("member and line_no > 1").select("id", F.col("line_no").cast("int")).distinct()

@@ -76,6 +76,8 @@ def stems(text: str) -> list[str]:
     out = []
     for w in _PART.findall(text):
         w = w.lower()
+        if w.endswith("ies") and len(w) > 4:
+            w = w[:-3] + "y"
         for end in ("ing", "es", "ed", "s", "e"):
             if len(w) > len(end) + 2 and w.endswith(end):
                 w = w[: -len(end)]
@@ -89,6 +91,8 @@ _STOCK_STEMS = frozenset(x for w in STOCK for x in stems(w))
 
 def doc_words(text: str) -> list[str] | None:
     """The stems that documentation adds beyond tags, marks and stock words; None where it is trivial or disabled code."""
+    if text.startswith("/*!"):  # a banner
+        return None
     t = _MARK.sub(" ", text.replace("\r", ""))
     if _LEGAL.search(t):
         return None

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trovework.llm import credentials, encoding, mixing, prose, splitting, structure
+from trovework.llm import credentials, encoding, mixing, prose, provenance, splitting, structure
 from trovework.session import table
 
 
@@ -19,6 +19,14 @@ def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.redact_credentials(table(spark, sf_dir, "code_chunks_vectors"))
 
 
+def p2_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return provenance.not_handwritten(table(spark, sf_dir, "code_chunks_vectors"), table(spark, sf_dir, "search_results"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_reasons(spark, sf_dir).select("source_file")
+
+
 def _prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = table(spark, sf_dir, "code_chunks_vectors")
     return prose.find_prose(chunks, prose.fit(spark, table(spark, sf_dir, "documents"), chunks))

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trovework.llm.lexing import CONFIG, blank, language_of, scanner
+from trovework.session import written
 
 COMMENT, ANNOTATION, HEADER, OPEN, CLOSE, DOCSTRING, TYPE = 1, 2, 3, 4, 5, 6, 7
 
@@ -126,16 +127,16 @@ def tokens(content: str, language: str) -> tuple[list[tuple[int, int, int, int,
     parts, at, docs = [], 0, []
     for m in scan.finditer(content):
         s, e = m.span()
+        text = m[0]
         parts.append(content[at:s])
-        parts.append(blank(m[0]))
+        parts.append(blank(text) if "\n" in text else " " * (e - s))
         at = e
-        head = content[content.rfind("\n", 0, s) + 1 : s]
-        if m["c"] is not None:
+        if m["s"] is None:
             tail = content.find("\n", e)
-            if not head.strip() and not content[e : tail if tail >= 0 else len(content)].strip():
-                out.append((s, e, COMMENT, 0, m[0]))
-        elif language == "python" and not head.strip():
-            docs.append((s, e, m[0]))
+            if not content[content.rfind("\n", 0, s) + 1 : s].strip() and not content[e : tail if tail >= 0 else len(content)].strip():
+                out.append((s, e, COMMENT, 0, text))
+        elif language == "python" and not content[content.rfind("\n", 0, s) + 1 : s].strip():
+            docs.append((s, e, text))
     parts.append(content[at:])
     code = "".join(parts)
     functions: dict[int, int] = {}
@@ -344,7 +345,7 @@ def functions_with_docs(chunks: DataFrame, results: DataFrame) -> DataFrame:
     key = lambda *c: F.xxhash64("source_file", "entity_name", "start_line", "end_line")
     single = F.lower("entity_type").isin("function", "method", "constructor")
     src = chunks.withColumn("fn_key", F.when(single, key())).withColumn("entity", F.when(single, F.regexp_extract(F.regexp_replace("entity_name", r"\(.*$", ""), r"([^.#:\\]+)$", 1)))
-    heads = headers(lexed(src, "fn_key", "entity"), "fn_key", "entity")
+    heads = written(headers(lexed(src, "fn_key", "entity"), "fn_key", "entity"), "headers")  # used twice
     words = F.pandas_udf(lambda s: pd.Series([doc_words(x) if x else None for x in s], dtype=object), "array<string>")
     said = results.where(F.col("doc_summary").isNotNull() & (F.trim("doc_summary") != "")).select(key().alias("fn_key"), "doc_summary").distinct()
     said = said.withColumn("said", words("doc_summary")).where("said is not null")

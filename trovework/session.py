@@ -54,3 +54,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def sample_by_hash(df: DataFrame, key: str, limit: int) -> DataFrame:
+    """At most limit rows, those first by a hash of key. Rows beyond twice the share that is needed are filtered where they are read."""
+    from pyspark.sql import functions as F
+
+    n = df.count()
+    h = F.xxhash64(F.lit(17), key)
+    if n > 4 * limit:
+        df = df.where(F.pmod(h, F.lit(1_000_003)) < int(1_000_003 * (2 * limit + 100) / n))
+    return df.orderBy(h).limit(limit)

@@ -45,7 +45,7 @@ def repository_of(path: Column) -> Column:
     """The repository of a file by its path: after a host, else before a source directory, else owner/repository; unknown where none fits."""
     p = F.split(F.lower(F.regexp_replace(F.coalesce(path, F.lit("")), r"\\", "/")), "/")
     valid = lambda c: F.when((F.length(c) > 1) & ~F.contains(c, F.lit(".")), c)
-    at = lambda i: F.try_element_at(p, i)
+    at = lambda i: F.try_element_at(p, i if isinstance(i, Column) else F.lit(i))
     by_host = F.coalesce(*[F.when(F.array_position(p, h) > 0, valid(at((F.array_position(p, h) + 2).cast("int")))) for h in HOSTS])
     first = F.least(*[F.when(F.array_position(p, d) > 1, F.array_position(p, d)) for d in SOURCE_DIRS])
     by_dir = F.when(first > 1, valid(at((first - 1).cast("int"))))
@@ -88,7 +88,7 @@ def context_block(path: Column, name: Column, kind: Column, start: Column, end:
     """A chunk as the prompt shows it: a header with its source, then its content in a fence."""
     call = F.when(F.lower(kind).isin("method", "function") & ~F.contains(name, F.lit("(")), F.lit("()")).otherwise(F.lit(""))
     head = F.concat(F.lit("[Source: "), path, F.lit(" - "), name, call, F.lit(" (lines "), start.cast("string"), F.lit("-"), end.cast("string"), F.lit(")]"))
-    return F.concat(head, F.lit("\n```"), F.lower(F.coalesce(language, F.lit(""))), F.lit("\n"), F.regexp_replace(content, r"\n*\z", "\n"), F.lit("```"))
+    return F.concat(head, F.lit("\n```"), F.lower(F.coalesce(language, F.lit(""))), F.lit("\n"), F.regexp_replace(content, r"\n+\z", ""), F.lit("\n```"))
 
 
 def citations(answer: Column) -> Column:

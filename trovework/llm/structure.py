@@ -231,7 +231,7 @@ def _header(code: str, start: int, end: int, language: str) -> tuple[int, int, s
 def _python(code: str, out: list, heads: list, docs: list) -> None:
     """Blocks of Python by indentation, outside brackets."""
     headers = {m.start(): m[2] for m in _PY_DEF.finditer(code)}
-    levels, pos, inside, pending, first = [0], 0, 0, 0, {s: (e, t) for s, e, t in docs}
+    levels, pos, inside, pending, tail, first = [0], 0, 0, 0, 0, {s: (e, t) for s, e, t in docs}
     expects = False
     for line in code.split("\n"):
         text = line.strip()
@@ -243,7 +243,7 @@ def _python(code: str, out: list, heads: list, docs: list) -> None:
                 d = next((s for s in range(here, here + len(line)) if s in first), None) if first and len(line) < 400 else next((s for s in first if here <= s < pos), None)
                 if d is not None:
                     out.append((d, first[d][0], DOCSTRING, 0, first[d][1]))
-                    expects = False
+                    expects, tail = False, first[d][0]
             continue
         if not inside:
             if indent > levels[-1]:
@@ -251,8 +251,8 @@ def _python(code: str, out: list, heads: list, docs: list) -> None:
                 out.append((here, here, OPEN, int(pending), ""))
             else:
                 if pending:  # a header without an indented body of code holds its docstring only
-                    out.append((here, here, OPEN, 1, ""))
-                    out.append((here, here, CLOSE, 0, ""))
+                    out.append((tail, tail, OPEN, 1, ""))
+                    out.append((tail, tail, CLOSE, 0, ""))
                 while indent < levels[-1]:
                     levels.pop()
                     out.append((here, here, CLOSE, 0, ""))
@@ -263,6 +263,7 @@ def _python(code: str, out: list, heads: list, docs: list) -> None:
             if here in headers:
                 heads.append((here + indent, here + len(line), headers[here]))
                 pending = expects = 1
+                tail = here + len(line)
             elif _PY_CLASS.match(line):
                 out.append((here, here, TYPE, 0, ""))
                 expects = True
@@ -279,7 +280,7 @@ def _lex(content: pd.Series, path: pd.Series, language: pd.Series) -> pd.DataFra
         # comments and annotations count only where a header may follow
         kept, near = [], False
         for x in reversed(toks):
-            near = x[2] == HEADER or near and x[2] in (COMMENT, ANNOTATION)
+            near = x[2] == HEADER or near and x[2] in (COMMENT, ANNOTATION, OPEN, CLOSE)
             if near or x[2] not in (COMMENT, ANNOTATION):
                 kept.append(x)
         toks = kept[::-1]

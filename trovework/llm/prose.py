@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trovework.llm.lexing import CONFIG, language_of, scanner, unescape
+from trovework.session import sample_by_hash
 
 LANGUAGES = ("en", "de", "fr", "es", "pt", "ru", "ja", "zh")
 CODE = len(LANGUAGES)
@@ -135,20 +136,20 @@ _PROSE = re.compile(r"[^\W\d_]+(?:[ ,]+[^\W\d_]+){4,}[.,;!?]|[぀-ヿ㐀-鿿]{6,
 def fit(spark: SparkSession, docs: DataFrame, chunks: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The model from a sample of at most SAMPLE characters a state, chosen by a hash of the ids."""
     lang = F.lower(F.trim("lang"))
-    d = docs.select(F.xxhash64("doc_id").alias("h"), lang.alias("lang"), "text").where(F.col("lang").isin(*LANGUAGES) & F.col("text").isNotNull() & (F.length("text") <= TEXT))
+    d = docs.select("doc_id", lang.alias("lang"), "text").where(F.col("lang").isin(*LANGUAGES) & F.col("text").isNotNull() & (F.length("text") <= TEXT))
     # about as many of each language: a limit a language, then the sample is cut by size below
     texts: dict[int, list[str]] = {s: [] for s in range(CODE + 1)}
     limit = SAMPLE // 300
     for s, g in enumerate(LANGUAGES):
         size = 0
-        for (t,) in d.where(F.col("lang") == g).orderBy("h").limit(limit).select("text").collect():
+        for (t,) in sample_by_hash(d.where(F.col("lang") == g), "doc_id", limit).select("text").collect():
             t = _FENCE.sub(" ", t)
             if size < SAMPLE:
                 texts[s].append(t)
                 size += len(t)
     size = 0
-    c = chunks.select(F.xxhash64("id").alias("h"), "content", "source_file", "language").where(F.col("content").isNotNull() & (F.length("content") <= TEXT))
-    for t, path, g in c.orderBy("h").limit(limit).select("content", "source_file", "language").collect():
+    c = chunks.select("id", "content", "source_file", "language").where(F.col("content").isNotNull() & (F.length("content") <= TEXT))
+    for t, path, g in sample_by_hash(c, "id", limit).select("content", "source_file", "language").collect():
         scan = scanner(language_of(path, g))
         if scan and size < SAMPLE:
             # code is what lies outside comments, and literals without a sentence
@@ -222,11 +223,11 @@ def clause(text: str, state: np.ndarray) -> int | None:
     return None
 
 
-_OUT = "id string, line_no int, prose_lang string, n_chars int, source_file string"
+_OUT = "id string, line_no int, prose_lang string, start int, n_chars int, source_file string"
 
 
 def find_prose(chunks: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """id, line_no, prose_lang, n_chars and source_file of each comment or literal that holds a clause.
+    """id, line_no, prose_lang, start, n_chars and source_file of each comment or literal that holds a clause.
 
     chunks needs id, content, source_file and language. The model is a table of fixed size and is broadcast.
     """
@@ -255,10 +256,10 @@ def find_prose(chunks: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataF
                                 continue
                             g = clause(t[s:e], state[at + s : at + e])
                             if g is not None:
-                                rows.append((i, t.count("\n", 0, s) + 1, LANGUAGES[g], e - s, path))
+                                rows.append((i, t.count("\n", 0, s) + 1, LANGUAGES[g], s, e - s, path))
                         at += len(t) + 1
                     todo, size = [], 0
-            yield pd.DataFrame(rows, columns=["id", "line_no", "prose_lang", "n_chars", "source_file"])
+            yield pd.DataFrame(rows, columns=["id", "line_no", "prose_lang", "start", "n_chars", "source_file"])
 
     slim = chunks.select("id", "content", "source_file", "language").where(F.col("content").isNotNull() & (F.col("content") != ""))
     return slim.mapInPandas(run, _OUT).distinct()

@@ -32,10 +32,11 @@ def boundaries(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) ->
     big = oversized(chunks, limit)
     heads = headers(lexed(big.withColumn("single", F.lower("entity_type").isin("function", "method", "constructor")), "single"), "single")
     members = heads.where(~F.col("single") | F.col("single").isNull()).select("id", F.col("first_line").alias("line_no")).distinct().withColumn("member", F.lit(True))
-    lines = big.select("id", "content").dropDuplicates(["id"]).select("id", F.posexplode(F.split("content", "\n", -1)).alias("n", "line"))
+    # only the lines' sizes leave the scan
+    sizes = big.select("id", F.transform(F.split("content", "\n", -1), lambda x: F.length(x) + 1).alias("sizes")).dropDuplicates(["id"])
+    lines = sizes.select("id", F.posexplode("sizes").alias("n", "size"))
     w = Window.partitionBy("id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    size = F.length("line") + 1
-    lines = lines.select("id", F.col("n").alias("line0"), F.coalesce(F.sum(size).over(w), F.lit(0)).cast("int").alias("at"), size.cast("int").alias("size"))
+    lines = lines.select("id", F.col("n").alias("line0"), F.coalesce(F.sum("size").over(w), F.lit(0)).cast("int").alias("at"), "size")
     step = limit - overlap
     # inside a long line a boundary after each full step
     cuts = lines.select("id", "line0", F.explode(F.sequence(F.col("at"), F.col("at") + F.greatest(F.col("size") - 2, F.lit(0)), F.lit(step))).alias("at"), F.col("at").alias("start"))

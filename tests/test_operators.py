@@ -163,10 +163,11 @@ def test_closure(spark):
 
 
 def test_detected_changes(spark):
-    old = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3"), ("d", "3")], "path string, hash string")
-    new = spark.createDataFrame([("a", "9"), ("b", "2"), ("e", "3"), ("f", "5")], old.schema)
+    old = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3"), ("d", "0"), ("g", "0")], "path string, hash string")
+    new = spark.createDataFrame([("a", "9"), ("b", "2"), ("e", "3"), ("f", "0")], old.schema)
     got = values(changes.detect(old, new).fillna(""), "change_type", "file_path", "old_path")
-    assert got == [("ADDED", "f", ""), ("DELETED", "d", ""), ("MODIFIED", "a", ""), ("RENAMED", "e", "c")]
+    assert got == [("ADDED", "f", ""), ("DELETED", "d", ""), ("DELETED", "g", ""), ("MODIFIED", "a", ""), ("RENAMED", "e", "c")]
+    assert changes.detect(old.limit(0), new.limit(0)).count() == 0
 
 
 FEED = "change_id long, change_type string, file_path string, old_path string, repository string, commit_sha string, changed_at timestamp, received_at timestamp"

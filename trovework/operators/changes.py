@@ -13,13 +13,13 @@ KINDS = ("ADDED", "MODIFIED", "DELETED", "RENAMED")
 def detect(old: DataFrame, new: DataFrame) -> DataFrame:
     """change_type, file_path and old_path between two snapshots with path and hash.
 
-    A deleted and an added file of the same content are one rename; where several have it, in order of their paths.
+    A deleted and an added file are one rename where they are the only ones of their content; contents that several have, such
+    as that of empty files, say nothing about which became which.
     """
     j = old.select("path", F.col("hash").alias("a")).join(new.select("path", F.col("hash").alias("b")), "path", "full_outer")
     gone, come = j.where("b is null"), j.where("a is null")
-    # ranks within equal contents: position in the sorted paths of that content
-    rank = lambda d, h: d.groupBy(F.col(h).alias("hash")).agg(F.array_sort(F.collect_list("path")).alias("p")).select("hash", F.posexplode("p").alias("n", "path"))
-    moved = rank(gone, "a").withColumnRenamed("path", "old_path").join(rank(come, "b"), ["hash", "n"]).select("old_path", F.col("path").alias("file_path"))
+    only = lambda d, h, p: d.groupBy(F.col(h).alias("hash")).agg(F.count("*").alias("n"), F.min("path").alias(p)).where("n = 1").select("hash", p)
+    moved = only(gone, "a", "old_path").join(only(come, "b", "file_path"), "hash").select("old_path", "file_path")
     out = j.where("a is not null and b is not null and a != b").select(F.lit("MODIFIED").alias("change_type"), F.col("path").alias("file_path"), F.lit(None).cast("string").alias("old_path"))
     rest = lambda d, kind, used: delete_by(d, moved.select(used), "path").select(F.lit(kind).alias("change_type"), F.col("path").alias("file_path"), F.lit(None).cast("string").alias("old_path"))
     return out.unionByName(rest(gone, "DELETED", "old_path")).unionByName(rest(come, "ADDED", "file_path")).unionByName(moved.select(F.lit("RENAMED").alias("change_type"), "file_path", "old_path"))

@@ -61,7 +61,7 @@ def usage_by_window(calls: DataFrame, length: str = "1 day") -> DataFrame:
 
 
 def running_cost(calls: DataFrame) -> DataFrame:
-    """usage_id, provider and the provider's cost up to that call, by days: a day's sum first, so that a window sorts days, not calls."""
+    """provider, day, the day's cost and the cost up to that day: sums of days first, so that the window sorts days, not calls."""
     one = calls.dropDuplicates(["usage_id"]).withColumn("day", F.to_date("completed_at"))
     days = one.groupBy("provider", "day").agg(F.sum(F.coalesce("cost_estimate", F.lit(0.0))).alias("cost"))
     w = Window.partitionBy("provider").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)

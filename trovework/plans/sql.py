@@ -99,8 +99,8 @@ def queries() -> dict[str, str]:
         "upserted": "SELECT source_file, count(DISTINCT id) AS n FROM code_chunks_vectors WHERE created_at IS NOT NULL GROUP BY 1",
         "upserted_vectors": "SELECT CASE WHEN label % 2 = 0 THEN label + 100 ELSE label END AS label, count(*) AS n FROM embeddings GROUP BY 1",
         "snapshot_changes": f"""WITH {CLEAN}, n AS (SELECT source_file AS path, string_agg(md5(content), '' ORDER BY start_line, md5(content)) AS h FROM c GROUP BY 1), o AS (SELECT source_file AS path, string_agg(md5(content), '' ORDER BY start_line, md5(content)) AS h FROM c WHERE created_at < '{DAY}' GROUP BY 1),
-  come AS (SELECT path, h, row_number() OVER (PARTITION BY h ORDER BY path) AS r FROM n WHERE path NOT IN (SELECT path FROM o)), gone AS (SELECT path, h, row_number() OVER (PARTITION BY h ORDER BY path) AS r FROM o WHERE path NOT IN (SELECT path FROM n)),
-  moved AS (SELECT gone.path AS old_path, come.path AS file_path FROM gone JOIN come USING (h, r))
+  come AS (SELECT path, h, count(*) OVER (PARTITION BY h) AS r FROM n WHERE path NOT IN (SELECT path FROM o)), gone AS (SELECT path, h, count(*) OVER (PARTITION BY h) AS r FROM o WHERE path NOT IN (SELECT path FROM n)),
+  moved AS (SELECT gone.path AS old_path, come.path AS file_path FROM gone JOIN come USING (h) WHERE gone.r = 1 AND come.r = 1)
   SELECT 'MODIFIED' AS change_type, path AS file_path, NULL AS old_path FROM o JOIN n USING (path) WHERE o.h <> n.h UNION ALL SELECT 'ADDED', path, NULL FROM come WHERE path NOT IN (SELECT file_path FROM moved) UNION ALL SELECT 'DELETED', path, NULL FROM gone WHERE path NOT IN (SELECT old_path FROM moved) UNION ALL SELECT 'RENAMED', file_path, old_path FROM moved""",
         "file_states": f"WITH {STATE} SELECT path, alive FROM state",
         "applied_changes": f"WITH {CLEAN}, {STATE} SELECT language, count(*) AS n FROM c WHERE source_file NOT IN (SELECT path FROM state WHERE NOT alive) GROUP BY 1",

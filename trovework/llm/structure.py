@@ -361,8 +361,9 @@ def functions_with_docs(chunks: DataFrame, results: DataFrame) -> DataFrame:
 def pairs(chunks: DataFrame, results: DataFrame) -> DataFrame:
     """As functions_with_docs(), with the texts: id, func_name, line, code and doc."""
     found = functions_with_docs(chunks, results)
-    texts = chunks.select("id", "content").dropDuplicates(["id"])
+    texts = chunks.select("id", "content")
     piece = lambda a, b: F.expr(f"substring(content, {a} + 1, {b} - {a})")
     doc = F.when(F.col("ds_start").isNotNull(), piece("ds_start", "ds_end")).when(F.col("doc_start").isNotNull(), piece("doc_start", "doc_end")).otherwise(F.col("summary"))
     code = F.expr("substring(content, start + 1, coalesce(code_end, length(content)) - start)")
-    return found.join(texts, "id").select("id", "func_name", "line", code.alias("code"), doc.alias("doc"))
+    # repeated rows go after the join, which has brought the rows of an id together already
+    return found.join(texts, "id").select("id", "start", "func_name", "line", code.alias("code"), doc.alias("doc")).dropDuplicates(["id", "start"]).drop("start")

@@ -10,6 +10,7 @@ partition by chunk id, so the tokens are shuffled once, together with the droppi
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -44,6 +45,7 @@ _WORDED = {
 _WORDED = {k: re.compile(rf"(?m)^[ \t]*{v}(?={'[(:=]' if k == 'scala' else '[(]'})") for k, v in _WORDED.items()}
 _BALANCED = re.compile(r"\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)")
 _BODY = re.compile(r"[^{};=]*?(?:(?P<open>\{)|(?P<expr>=)(?![=>])|(?=[};])|\Z)")
+_FIRST, _OPENS, _NEWLINE = re.compile(r"\s*(\w+)"), re.compile(r"\s*\{"), re.compile("\n")
 _PY_DEF = re.compile(r"(?m)^([ \t]*)(?:async[ \t]+)?def[ \t]+(\w+)[ \t]*\(")
 _PY_CLASS = re.compile(r"(?m)^[ \t]*class[ \t]+\w+")
 _RB = re.compile(
@@ -72,19 +74,20 @@ _WORD = re.compile(r"[^\W\d_]+|\d+")
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[^\W\d_a-zA-Z]+|\d+")
 
 
+@lru_cache(maxsize=100_000)
+def _stem(w: str) -> str:
+    w = w.lower()
+    if w.endswith("ies") and len(w) > 4:
+        w = w[:-3] + "y"
+    for end in ("ing", "es", "ed", "s", "e"):
+        if len(w) > len(end) + 2 and w.endswith(end):
+            return w[: -len(end)]
+    return w
+
+
 def stems(text: str) -> list[str]:
     """Lower-case words of prose or of an identifier, without plural and verb endings."""
-    out = []
-    for w in _PART.findall(text):
-        w = w.lower()
-        if w.endswith("ies") and len(w) > 4:
-            w = w[:-3] + "y"
-        for end in ("ing", "es", "ed", "s", "e"):
-            if len(w) > len(end) + 2 and w.endswith(end):
-                w = w[: -len(end)]
-                break
-        out.append(w)
-    return out
+    return [_stem(w) for w in _PART.findall(text)]
 
 
 _STOCK_STEMS = frozenset(x for w in STOCK for x in stems(w))
@@ -166,7 +169,7 @@ def tokens(content: str, language: str) -> tuple[list[tuple[int, int, int, int,
                     functions[b.start("open")] = 1
                     heads.append((m.start(), at, m["name"]))
                 elif b and b["expr"] and language in ("kotlin", "scala"):
-                    rest = re.compile(r"\s*\{").match(code, b.end())
+                    rest = _OPENS.match(code, b.end())
                     if rest:
                         functions[rest.end() - 1] = 1
                     heads.append((m.start(), at, m["name"]))
@@ -204,13 +207,13 @@ def _header(code: str, start: int, end: int, language: str) -> tuple[int, int, s
     text = code[start:end].rstrip()
     if len(text) < 3 or ("(" not in text and "=>" not in text):
         return None
-    first = re.match(r"\s*(\w+)", text)
+    first = _FIRST.match(text)
     if first and first[1] in _CONTROL and first[1] not in ("new", "function", "lock", "match", "select", "this"):
         return None
     line = text.rfind("\n") + 1
     if line and text.count("(", line) == text.count(")", line):  # most headers are one line, the last
         start, text = start + line, text[line:]
-        first = re.match(r"\s*(\w+)", text)
+        first = _FIRST.match(text)
         if first and first[1] in _CONTROL and first[1] not in ("new", "function", "lock", "match", "select", "this"):
             return None
     if language in ("javascript", "typescript"):
@@ -284,7 +287,7 @@ def _lex(content: pd.Series, path: pd.Series, language: pd.Series) -> pd.DataFra
             if near or x[2] not in (COMMENT, ANNOTATION):
                 kept.append(x)
         toks = kept[::-1]
-        starts = np.fromiter((m.end() for m in re.finditer("\n", t or "")), dtype=np.int64)
+        starts = np.fromiter((m.end() for m in _NEWLINE.finditer(t or "")), dtype=np.int64)
         s, e = [x[0] for x in toks], [max(x[0], x[1] - 1) for x in toks]
         words: list = [None] * len(toks)
         for n, x in enumerate(toks):

@@ -194,6 +194,41 @@ def test_selection_of_the_survey(spark):
     assert rag.context(rag.choose(df, 300), c).first()["context"] == "[Source: o/r/a.py - f() (lines 1-2)]\n```python\ndef f(): pass\n```"
 
 
+def greedy(rows, tokens):
+    left, taken, seen, later = tokens, [], set(), []
+    for doc, f, score, n in sorted(rows, key=lambda r: (-r[2], r[0])):
+        if f in seen:
+            later.append((doc, n))
+        elif n <= left:
+            left -= n
+            taken.append(doc)
+            seen.add(f)
+    for doc, n in later:
+        if n <= left:
+            left -= n
+            taken.append(doc)
+    return taken
+
+
+def test_selection_walks_all_candidates(spark):
+    r = random.Random(4)
+    rows = [("few", f"c{i:03}", "big" if i < 130 else f"f{i}", 1.0 - i / 1000, 290 if i < 130 else 5) for i in range(140)]
+    for q in range(12):
+        rows += [(None if q == 3 else f"q{q}", f"d{i}", f"f{r.randrange(1 + 9 * q)}", r.randrange(50) / 50, r.choice([0, 1, 2, 7, 30, 90, 400])) for i in range(40 * q)]
+    df = spark.createDataFrame(rows, "query_id string, doc string, source_file string, score double, n_tokens int").repartition(3)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in (7, 10_000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            got = {}
+            for x in rag.choose(df, 300).orderBy("position").collect():
+                got.setdefault(x["query_id"], []).append(x["doc"])
+            assert got == {q: greedy([x[1:] for x in rows if x[0] == q], 300) for q in {x[0] for x in rows}}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert got["few"] == ["c000", "c130", "c131"] and rag.choose(df, -1).count() == rag.choose(df.limit(0), 300).count() == 0
+
+
 def test_prompt_and_sources(spark):
     df = spark.createDataFrame([("c", "q?")], "c string, q string")
     assert df.select(rag.render("{{context}} / {{question}}", F.col("c"), F.col("q"))).first()[0] == "c / q?"

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trovework.functions.text import citations, context_block
-from trovework.operators.search import top
-
-#: The most candidates of a query, as many as a search returns.
-CANDIDATES = 100
 
 
 def budget(window: int, system: int, question: int, reserve: float = 0.2) -> int:
@@ -23,31 +21,56 @@ def choose(scored: DataFrame, tokens: int) -> DataFrame:
     """The candidates that fit a budget: query_id, doc, source_file, n_tokens, score, position.
 
     By falling score, first one chunk a file, then the others, each taken if it still fits. scored has query_id, doc,
-    source_file, score and n_tokens; a query's candidates are its CANDIDATES best, so groups are small.
+    source_file, score and n_tokens. All candidates of a query are walked in sorted batches. What is carried along is bounded
+    by the budget: the files taken, and of the others of a size only as many as the budget left can hold (of one size those
+    that fit come first); empty ones always fit.
     """
+    slim = scored.select("query_id", "doc", "source_file", "score", "n_tokens").where(F.col("n_tokens") <= tokens)
+    names, files, sizes = slim.columns, slim.columns.index("source_file"), slim.columns.index("n_tokens")
 
-    def pick(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in frames:
-            p = p.sort_values(["score", "doc"], ascending=[False, True], kind="stable")
-            left, rows, seen, later = tokens, [], set(), []
-            for r in p.itertuples(index=False):
-                if r.source_file in seen:
-                    later.append(r)
-                elif r.n_tokens <= left:
-                    left -= r.n_tokens
-                    rows.append(r)
-                    seen.add(r.source_file)
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query, left, rows, seen, later, held = None, tokens, [], set(), [], Counter()
+
+        def chosen() -> pa.RecordBatch:
+            room = left
             for r in later:
-                if r.n_tokens <= left:
-                    left -= r.n_tokens
+                if r[sizes] <= room:
+                    room -= r[sizes]
                     rows.append(r)
-            out = pd.DataFrame([x._asdict() for x in rows], columns=p.columns)
-            out["position"] = range(1, len(out) + 1)
-            yield out
-
-    few = top(scored.select("query_id", "doc", "source_file", "score", "n_tokens"), CANDIDATES).drop("rank")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in few.schema) + ", position int"
-    return few.groupBy("query_id").applyInPandas(lambda p: next(pick(iter([p]))), schema)
+            columns = [*zip(*rows)] or [()] * len(names)
+            arrays = [pa.array(c, type=t) for c, t in zip(columns, types)]
+            return pa.RecordBatch.from_arrays([*arrays, pa.array(range(1, len(rows) + 1), type=pa.int32())], names=[*names, "position"])
+
+        types: list[pa.DataType] = []
+        for b in batches:
+            types = b.schema.types
+            while b.num_rows:
+                ids = b.column("query_id")
+                first = ids[0].as_py()
+                # sorted by query: the first row of another one ends this one's part of the batch
+                n = pc.index(pc.fill_null(pc.equal(ids, ids[0]), False) if first is not None else pc.is_null(ids), False).as_py()
+                part, b = (b, b.slice(b.num_rows)) if n < 0 else (b.slice(0, n), b.slice(n))
+                if rows and first != query:
+                    yield chosen()
+                if first != query:
+                    query, left, rows, seen, later, held = first, tokens, [], set(), [], Counter()
+                part = part.filter(pc.less_equal(part.column("n_tokens"), left))  # what is left only falls
+                for r in zip(*(c.to_pylist() for c in part.columns)):
+                    size = r[sizes]
+                    if size > left:
+                        continue
+                    if r[files] not in seen:
+                        left -= size
+                        rows.append(r)
+                        seen.add(r[files])
+                    elif held[size] * size <= left - size:
+                        held[size] += 1
+                        later.append(r)
+        if rows:
+            yield chosen()
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema) + ", position int"
+    return slim.repartition("query_id").sortWithinPartitions("query_id", F.desc("score"), "doc").mapInArrow(walk, schema)
 
 
 def context(chosen: DataFrame, chunks: DataFrame) -> DataFrame:

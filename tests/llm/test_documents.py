@@ -117,17 +117,3 @@ def test_documents(spark, index):
     assert "vermin" in out[1]["sentence"] and "vermin" in out[1]["example"]
     assert {r["source"]: (r["documents"], r["offending"]) for r in offence.rates(offence.scores(docs, labels)).collect()} == {"s1": (3, 1), None: (1, 0), "s2": (1, 1)}
     assert offence.scores(docs.limit(0), labels).count() == 0
-
-
-def test_all_sure_sentences_join(spark, monkeypatch):
-    """However many blocks they fill, and however often others are found; sentences far from all labels are scored again too."""
-    labels = spark.createDataFrame([(b, 1) for b in BAD * 2] + [(g, 0) for g in GOOD * 3], "text string, flagged int")
-    sure = [f"You are a useless idiot and everybody knows it {w}." for w in ("wendigo", "bramble", "quaggy", "zorple", "flumox")]
-    rows = [(i, s) for i, s in enumerate(sure)] + [(10 + i, f"Wretched {w} fungus.  Oh {w} wretched stench today.") for i, w in enumerate(("wendigo", "zorple"))] + [(100 + i, BAD[0]) for i in range(30)]
-    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
-    whole = {r["doc_id"]: r for r in offence.scores(docs, labels).collect()}
-    assert all(whole[i]["score"] >= offence.JOIN for i in range(5))
-    assert all("wendigo" in whole[10]["example"] and "zorple" in whole[11]["example"] and whole[i]["score"] > 0 for i in (10, 11))
-    monkeypatch.setattr(offence, "BLOCK", 2)
-    small = {r["doc_id"]: r for r in offence.scores(docs, labels).collect()}
-    assert {i: (round(r["score"], 6), r["example"]) for i, r in small.items()} == {i: (round(r["score"], 6), r["example"]) for i, r in whole.items()}

@@ -10,10 +10,11 @@ partition by chunk id, so the tokens are shuffled once, together with the droppi
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,10 +43,10 @@ _WORDED = {
     "scala": r"(?:@\w+(?:\([^)\n]*\))?\s+)*(?:\w+(?:\[\w+\])?\s+)*?def\s+(?P<name>\w+)\s*(?:\[[^\]\n]*\])?",
     "php": r"(?:\w+\s+)*?function\s+&?\s*(?P<name>\w+)\s*",
 }
-_WORDED = {k: re.compile(rf"(?m)^[ \t]*{v}(?={'[(:=]' if k == 'scala' else '[(]'})") for k, v in _WORDED.items()}
+_WORDED = {k: (re.compile(rf"{w}\b"), re.compile(rf"[ \t]*{_WORDED[k]}(?={'[(:=]' if k == 'scala' else '[(]'})")) for k, w in (("go", "func"), ("rust", "fn"), ("swift", "func"), ("kotlin", "fun"), ("scala", "def"), ("php", "function"))}
 _BALANCED = re.compile(r"\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)")
 _BODY = re.compile(r"[^{};=]*?(?:(?P<open>\{)|(?P<expr>=)(?![=>])|(?=[};])|\Z)")
-_FIRST, _OPENS, _NEWLINE = re.compile(r"\s*(\w+)"), re.compile(r"\s*\{"), re.compile("\n")
+_FIRST, _OPENS = re.compile(r"\s*(\w+)"), re.compile(r"\s*\{")
 _PY_DEF = re.compile(r"(?m)^([ \t]*)(?:async[ \t]+)?def[ \t]+(\w+)[ \t]*\(")
 _PY_CLASS = re.compile(r"(?m)^[ \t]*class[ \t]+\w+")
 _RB = re.compile(
@@ -59,7 +60,9 @@ _ANNOTATION = {
     "cpp": re.compile(r"(?m)^[ \t]*(?:\[\[[^\n]*\]\]|template\s*<[^\n]*>)[ \t]*\r?$"),
     "c": re.compile(r"(?m)^[ \t]*__attribute__\s*\(\([^\n]*\)\)[ \t]*\r?$"),
 }
-_BRACE = re.compile(r"\}[ \t]*(?:else|catch|finally|while)\b[^{}\n]*\{|\{[^{}\n]*\}|([{}])")
+#: What every annotation of a language holds.
+_SIGNS = {**dict.fromkeys(("java", "kotlin", "scala", "swift", "typescript", "javascript", "python"), "@"), "rust": "#@", "php": "#@", "csharp": "[", "cpp": ("[[", "template"), "c": ("__attribute__",)}
+_BRACE = re.compile(r"[{}](?:(?<=\})[ \t]*(?:else|catch|finally|while)\b[^{}\n]*\{|(?<=\{)[^{}\n]*\})?")
 
 _MARK = re.compile(r"(?m)^[ \t]*(?:/\*+!?|\*+/|\*(?!\w)|//+!?|#+!?|\"\"\"|'''|[rRuU]?\"\"\"|=begin|=end|<!--)|\*+/[ \t]*$|(?:\"\"\"|''')[ \t]*$|-->|</?[a-z]\w*[^>\n]*>")
 _TAG = re.compile(r"(?m)^[ \t]*(?:[@\\](?:param|arg|return|returns|throws|exception|see|since|author|version|type|deprecated|tparam|brief|inheritdoc|override)\b[ \t]*(?:\{[^}\n]*\}[ \t]*)?|:(?:param|returns?|raises|rtype|type)\b[^:\n]*:|- (?:Parameters?|Returns|Throws)\b:?)[ \t]*(?P<rest>[^\n]*)$", re.I)
@@ -100,25 +103,21 @@ def doc_words(text: str) -> list[str] | None:
     t = _MARK.sub(" ", text.replace("\r", ""))
     if _LEGAL.search(t):
         return None
-    t = _TAG.sub(lambda m: m["rest"] if len(m["rest"].split()) >= 4 else " ", t)
+    if "@" in t or ":" in t or "\\" in t or "- " in t:
+        t = _TAG.sub(lambda m: m["rest"] if len(m["rest"].split()) >= 4 else " ", t)
     lines = [x for x in t.split("\n") if x.strip()]
     code = sum(bool(_CODE.search(x.rstrip())) for x in lines)
     if not lines or code * 2 >= len(lines) and code:
         return None
     body = " ".join(lines)
-    if re.match(r"(?i)\W*(?:todo|fixme|xxx|tbd|hack)\b", body) and len(lines) == 1:
+    if len(lines) == 1 and re.match(r"(?i)\W*(?:todo|fixme|xxx|tbd|hack)\b", body):
         return None
-    cjk = re.findall(r"[぀-ヿ㐀-鿿]", body)
-    if len(cjk) >= 4:
-        return ["　", *sorted(set(cjk))[:8]]
+    if not body.isascii() and len(cjk := re.findall(r"[぀-ヿ㐀-鿿]", body)) >= 4:
+        return ["　", *sorted(set(cjk))]
     words = sorted({w for w in stems(body) if w not in _STOCK_STEMS and not w.isdigit()})
-    if not words or re.fullmatch(r"\s*([-=*#~_.]{3,})\s*[\w ]*?\s*\1?\s*", body) or len(_WORD.findall(body)) < 1:
+    if not words or body.lstrip()[:1] in "-=*#~_." and re.fullmatch(r"\s*([-=*#~_.]{3,})\s*[\w ]*?\s*\1?\s*", body):
         return None
-    return words[:40]
-
-
-def _lines_before(starts: np.ndarray, offsets: list[int]) -> np.ndarray:
-    return np.searchsorted(starts, np.asarray(offsets, dtype=np.int64), side="right")
+    return words
 
 
 def tokens(content: str, language: str) -> tuple[list[tuple[int, int, int, int, str]], str]:
@@ -128,18 +127,26 @@ def tokens(content: str, language: str) -> tuple[list[tuple[int, int, int, int,
     if scan is None or language in CONFIG:
         return out, content
     parts, at, docs = [], 0, []
+    find, rfind, python = content.find, content.rfind, language == "python"
     for m in scan.finditer(content):
         s, e = m.span()
-        text = m[0]
         parts.append(content[at:s])
-        parts.append(blank(text) if "\n" in text else " " * (e - s))
         at = e
         if m["s"] is None:
-            tail = content.find("\n", e)
-            if not content[content.rfind("\n", 0, s) + 1 : s].strip() and not content[e : tail if tail >= 0 else len(content)].strip():
-                out.append((s, e, COMMENT, 0, text))
-        elif language == "python" and not content[content.rfind("\n", 0, s) + 1 : s].strip():
-            docs.append((s, e, text))
+            text = m[0]
+            parts.append(blank(text) if "\n" in text else " " * (e - s))
+            if not content[rfind("\n", 0, s) + 1 : s].strip():
+                tail = find("\n", e)
+                if not content[e : tail if tail >= 0 else len(content)].strip():
+                    out.append((s, e, COMMENT, 0, text))
+        elif find("\n", s, e) < 0:
+            parts.append(" " * (e - s))
+            if python and not content[rfind("\n", 0, s) + 1 : s].strip():
+                docs.append((s, e, m[0]))
+        else:
+            parts.append(blank(m[0]))
+            if python and not content[rfind("\n", 0, s) + 1 : s].strip():
+                docs.append((s, e, m[0]))
     parts.append(content[at:])
     code = "".join(parts)
     functions: dict[int, int] = {}
@@ -158,8 +165,13 @@ def tokens(content: str, language: str) -> tuple[list[tuple[int, int, int, int,
                 out.append((m.start(m.lastgroup), m.end(), OPEN, 0, ""))
     else:
         if language in _WORDED:
-            for m in _WORDED[language].finditer(code):
-                at = m.end()
+            word, header = _WORDED[language]
+            done = 0
+            for w in word.finditer(code):
+                start = max(code.rfind("\n", 0, w.start()) + 1, done)
+                if not (m := header.match(code, start)):
+                    continue
+                at = done = m.end()
                 while (b := _BALANCED.match(code, at)) and b.end() > at:
                     at = b.end()
                     if code[at : at + 1] != "(":
@@ -179,22 +191,24 @@ def tokens(content: str, language: str) -> tuple[list[tuple[int, int, int, int,
                 start = code.rfind("\n", 0, m.start()) + 1
                 if f := arrow.match(code[start : m.start()]):
                     heads.append((start + len(f[0]) - len(f[0].lstrip()), m.end(), f["name"]))
-        last = 0
+        last, header = 0, language not in _WORDED
         for m in _BRACE.finditer(code):
-            if m[0][0] == "{" and language not in _WORDED and (h := _header(code, max(last, code.rfind(";", last, m.start()) + 1), m.start(), language)):
-                functions[m.start()] = 1
+            s, e = m.span()
+            opens = code[s] == "{"
+            if opens and header and (h := _header(code, max(last, code.rfind(";", last, s) + 1), s, language)):
+                functions[s] = 1
                 heads.append(h)
-            if m[1]:
-                out.append((m.start(), m.end(), OPEN if m[1] == "{" else CLOSE, functions.get(m.start(), 0), ""))
-                last = m.end()
-            elif m[0][0] == "}":
-                last = m.end()
-            elif m.start() in functions:
-                out.append((m.start(), m.start() + 1, OPEN, 1, ""))
-                out.append((m.end() - 1, m.end(), CLOSE, 0, ""))
-                last = m.end()
+            if e - s == 1:
+                out.append((s, e, OPEN if opens else CLOSE, functions.get(s, 0), ""))
+                last = e
+            elif not opens:
+                last = e
+            elif s in functions:
+                out.append((s, s + 1, OPEN, 1, ""))
+                out.append((e - 1, e, CLOSE, 0, ""))
+                last = e
     out += [(s, e, HEADER, 0, name) for s, e, name in heads]
-    if language in _ANNOTATION:
+    if heads and language in _ANNOTATION and any(x in code for x in _SIGNS[language]):
         for m in _ANNOTATION[language].finditer(code):
             s = m.start() + len(m[0]) - len(m[0].lstrip())
             out.append((s, m.end(), ANNOTATION, 0, ""))
@@ -273,40 +287,67 @@ def _python(code: str, out: list, heads: list, docs: list) -> None:
         inside = max(0, inside + sum(map(line.count, "([{")) - sum(map(line.count, ")]}")))
 
 
-_LEXED = "start array<int>, end array<int>, line array<int>, end_line array<int>, kind array<tinyint>, fn array<tinyint>, name array<string>, words array<array<string>>"
-
-
-def _lex(content: pd.Series, path: pd.Series, language: pd.Series) -> pd.DataFrame:
-    rows = []
-    for t, p, g in zip(content, path, language):
-        toks = tokens(t, language_of(p, g))[0] if t else []
-        # comments and annotations count only where a header may follow
-        kept, near = [], False
-        for x in reversed(toks):
-            near = x[2] == HEADER or near and x[2] in (COMMENT, ANNOTATION, OPEN, CLOSE)
-            if near or x[2] not in (COMMENT, ANNOTATION):
-                kept.append(x)
-        toks = kept[::-1]
-        starts = np.fromiter((m.end() for m in _NEWLINE.finditer(t or "")), dtype=np.int64)
-        s, e = [x[0] for x in toks], [max(x[0], x[1] - 1) for x in toks]
-        words: list = [None] * len(toks)
-        for n, x in enumerate(toks):
-            if x[2] in (COMMENT, DOCSTRING):
-                words[n] = doc_words(x[4])
-            elif x[2] == HEADER:
-                words[n] = stems(x[4])
-        rows.append((np.asarray(s, np.int32), np.asarray([x[1] for x in toks], np.int32), (_lines_before(starts, s) + 1).astype(np.int32), (_lines_before(starts, e) + 1).astype(np.int32),
-                     np.asarray([x[2] for x in toks], np.int8), np.asarray([x[3] for x in toks], np.int8), [x[4] if x[2] == HEADER else None for x in toks], words))
-    return pd.DataFrame(rows, columns=[x.split()[0] for x in re.sub(r"<[^,]*>+", "", _LEXED).split(", ")])
-
-
-def lexed(chunks: DataFrame, *more: str) -> DataFrame:
-    """A row for each token of each distinct chunk: id, the columns in more, pos, and the token's fields."""
+_LEXED = "start array<int>, end array<int>, line array<int>, end_line array<int>, kind array<tinyint>, fn array<tinyint>, text array<string>"
+
+
+def shaped(content: str, language: str) -> list[tuple[int, int, int, int, int, int, str | None]]:
+    """The tokens of a chunk that has a function header: start, end, line, end_line, kind, function?, and a text.
+
+    A header's text is its name and the stems of the name, that of a comment or docstring its stems, all with blanks between; null
+    where it says nothing. Comments and annotations that something else than a header follows are left out.
+    """
+    toks = tokens(content, language)[0]
+    if not any(x[2] == HEADER for x in toks):
+        return []
+    kept, near, below = [], False, 0
+    for x in reversed(toks):
+        if x[2] in (COMMENT, ANNOTATION):
+            # what stands between belongs to the header only where no blank line and no code parts them
+            near = near and not content.count("\n", x[1], below) > 1
+        else:
+            near = x[2] == HEADER or near and x[2] in (OPEN, CLOSE)
+        if near or x[2] not in (COMMENT, ANNOTATION):
+            kept.append(x)
+            below = x[0] if x[2] in (COMMENT, ANNOTATION, HEADER) else below
+    out, at, line, count = [], 0, 1, content.count
+    for s, e, kind, fn, text in reversed(kept):
+        line += count("\n", at, s)
+        at = s
+        words: list[str] | None = None
+        if kind == HEADER:
+            words = [text, *stems(text)]
+        elif kind in (COMMENT, DOCSTRING):
+            words = doc_words(text)
+        last = line if kind in (OPEN, CLOSE, TYPE) or e - s < 2 else line + count("\n", s, e - 1)
+        out.append((s, e, line, last, kind, fn, None if words is None else " ".join(words)))
+    return out
+
+
+def _lex(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    types = [pa.int32()] * 4 + [pa.int8()] * 2 + [pa.string()]
+    for b in batches:
+        rows, sizes, kept = [], [0], []
+        for n, (t, p, g) in enumerate(zip(*(b.column(c).to_pylist() for c in ("content", "source_file", "language")))):
+            if found := shaped(t, language_of(p, g)):
+                rows += found
+                sizes.append(len(rows))
+                kept.append(n)
+        flat = [*zip(*rows)] or [()] * 7
+        arrays = [pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(c, t)) for c, t in zip(flat, types)]
+        rest = b.drop_columns(["content", "source_file", "language"]).take(pa.array(kept, pa.int32()))
+        yield pa.RecordBatch.from_arrays([*rest.columns, *arrays], names=[*rest.schema.names, *(c.split()[0] for c in _LEXED.split(", "))])
+
+
+def lexed(chunks: DataFrame, *more: str, where: str = "true") -> DataFrame:
+    """A row for each token of each distinct chunk with a function header: id, the columns in more, pos, and the token's fields.
+
+    where is a condition on the arrays of a chunk's tokens that it must meet.
+    """
     slim = chunks.select("id", *more, "content", "source_file", "language").where(F.col("content").isNotNull() & (F.col("content") != ""))
-    run = F.pandas_udf(_lex, _LEXED)
-    arrays = slim.select("id", *more, run("content", "source_file", "language").alias("t")).where(F.size("t.start") > 0).dropDuplicates(["id"])
-    zipped = F.arrays_zip(*[F.col(f"t.{c}").alias(c) for c in ("start", "end", "line", "end_line", "kind", "fn", "name", "words")])
-    return arrays.select("id", *more, F.posexplode(zipped).alias("pos", "t")).select("id", *more, "pos", "t.*")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.select("id", *more).schema) + ", " + _LEXED
+    arrays = slim.mapInArrow(_lex, schema).where(where).dropDuplicates(["id"])
+    names = [c.split()[0] for c in _LEXED.split(", ")]
+    return arrays.select("id", *more, F.posexplode(F.arrays_zip(*names)).alias("pos", "t")).select("id", *more, "pos", "t.*")
 
 
 def headers(lex: DataFrame, *more: str) -> DataFrame:
@@ -325,17 +366,18 @@ def headers(lex: DataFrame, *more: str) -> DataFrame:
     joined = (F.col("line") == F.lag("end_line").over(by_id) + 1) & F.lag("kind").over(by_id).isin(COMMENT, ANNOTATION) & F.col("kind").isin(COMMENT, ANNOTATION, HEADER)
     t = t.withColumn("island", F.sum(F.when(joined, 0).otherwise(1)).over(by_id))
     inland = Window.partitionBy("id", "island").orderBy("pos")
-    t = t.withColumn("first_line", F.min("line").over(inland)).withColumn("above", F.collect_list(F.when(F.col("kind") == COMMENT, F.col("words"))).over(inland))
+    t = t.withColumn("first_line", F.min("line").over(inland)).withColumn("above", F.collect_list(F.when(F.col("kind") == COMMENT, F.col("text"))).over(inland))
     t = t.withColumn("doc_start", F.min(F.when(F.col("kind") == COMMENT, F.col("start"))).over(inland)).withColumn("doc_end", F.max(F.when(F.col("kind") == COMMENT, F.col("end"))).over(inland))
     # a docstring belongs to the header before it, with nothing but comments between
     t = t.where(F.col("kind").isin(HEADER, DOCSTRING, TYPE, OPEN))
     body = [F.when(F.lead("kind", n).over(by_id) == OPEN, F.lead("close_end", n).over(by_id)) for n in (1, 2)]
     t = t.withColumn("code_end", F.when(F.lead("kind").over(by_id) == OPEN, body[0]).when(F.lead("kind").over(by_id) == DOCSTRING, body[1]))
     after = F.lead("kind").over(by_id) == DOCSTRING
-    t = t.withColumn("docstring", F.when(after, F.lead("words").over(by_id))).withColumn("ds_start", F.when(after, F.lead("start").over(by_id))).withColumn("ds_end", F.when(after, F.lead("end").over(by_id)))
+    t = t.withColumn("docstring", F.when(after, F.lead("text").over(by_id))).withColumn("ds_start", F.when(after, F.lead("start").over(by_id))).withColumn("ds_end", F.when(after, F.lead("end").over(by_id)))
     t = t.where((F.col("kind") == HEADER) & (F.col("inside") == 0))
+    t = t.withColumn("words", F.split("text", " ")).withColumn("name", F.element_at("words", 1)).withColumn("words", F.slice("words", 2, F.size("words")))
     docs = F.filter(F.concat(F.col("above"), F.array("docstring")), lambda w: w.isNotNull())
-    says = F.exists(docs, lambda w: F.size(F.array_except(w, F.col("words"))) > 0)
+    says = F.exists(docs, lambda w: F.size(F.array_except(F.split(w, " "), F.col("words"))) > 0)
     return t.select("id", *more, "name", "line", "first_line", "start", "depth", "words", "code_end", F.coalesce(says, F.lit(False)).alias("documented"), "doc_start", "doc_end", "ds_start", "ds_end")
 
 
@@ -346,18 +388,22 @@ def functions_with_docs(chunks: DataFrame, results: DataFrame) -> DataFrame:
     four of these but entity_type, source_file and doc_summary. The documentation is a comment or docstring at its place, else the
     first in order of the summaries. Null or empty contents and files of unknown kind give no rows.
     """
-    key = lambda *c: F.xxhash64("source_file", "entity_name", "start_line", "end_line")
+    place = ["source_file", "entity_name", "start_line", "end_line"]
+    # 128 bits of hash stand for the four columns, so that they needn't go through the windows; a null matches nothing
+    key = F.when(F.expr(" and ".join(f"{c} is not null" for c in place)), F.struct(F.xxhash64(*place).alias("a"), F.xxhash64(F.lit(1), *reversed(place)).alias("b")))
     single = F.lower("entity_type").isin("function", "method", "constructor")
-    src = chunks.withColumn("fn_key", F.when(single, key())).withColumn("entity", F.when(single, F.regexp_extract(F.regexp_replace("entity_name", r"\(.*$", ""), r"([^.#:\\]+)$", 1)))
-    heads = written(headers(lexed(src, "fn_key", "entity"), "fn_key", "entity"), "headers")  # used twice
+    src = chunks.withColumn("fn_key", F.when(single, key)).withColumn("entity", F.when(single, F.regexp_extract(F.regexp_replace("entity_name", r"\(.*$", ""), r"([^.#:\\]+)$", 1)))
+    # a chunk with neither comments nor summaries has no documentation
+    some = f"fn_key is not null or array_contains(kind, {COMMENT}Y) or array_contains(kind, {DOCSTRING}Y)"
+    heads = written(headers(lexed(src, "fn_key", "entity", where=some), "fn_key", "entity"), "headers")  # used twice
     words = F.pandas_udf(lambda s: pd.Series([doc_words(x) if x else None for x in s], dtype=object), "array<string>")
-    said = results.where(F.col("doc_summary").isNotNull() & (F.trim("doc_summary") != "")).select(key().alias("fn_key"), "doc_summary").distinct()
+    said = results.where(F.col("doc_summary").isNotNull() & (F.trim("doc_summary") != "")).select(key.alias("fn_key"), "doc_summary").distinct()
     said = said.withColumn("said", words("doc_summary")).where("said is not null")
     bare = heads.where((F.col("name") == F.col("entity")) & F.col("fn_key").isNotNull() & ~F.col("documented"))
     from_results = bare.join(said, "fn_key").where(F.size(F.array_except("said", "words")) > 0).groupBy("id", "name", "line", "start", "code_end").agg(F.min("doc_summary").alias("summary"))
-    place = ["doc_start", "doc_end", "ds_start", "ds_end"]
-    own = heads.where("documented").select("id", "name", "line", "start", "code_end", *place, F.lit(None).cast("string").alias("summary"))
-    rest = from_results.select("id", "name", "line", "start", "code_end", *[F.lit(None).cast("int").alias(c) for c in place], "summary")
+    at = ["doc_start", "doc_end", "ds_start", "ds_end"]
+    own = heads.where("documented").select("id", "name", "line", "start", "code_end", *at, F.lit(None).cast("string").alias("summary"))
+    rest = from_results.select("id", "name", "line", "start", "code_end", *[F.lit(None).cast("int").alias(c) for c in at], "summary")
     return own.unionByName(rest).withColumnRenamed("name", "func_name")
 
 

@@ -38,6 +38,9 @@ def test_poisson_counts(spark):
     r = np.random.default_rng(1)
     u = r.random(500)
     df = spark.createDataFrame([(float(x),) for x in u], "u double").select("u", mixing.poisson_count(F.col("u"), F.lit(1.3), F.lit(4)).alias("k"))
+    high = spark.createDataFrame([(float(x),) for x in u], "u double").select("u", mixing.poisson_count(F.col("u"), F.lit(900.0), F.lit(1000)).alias("k"), mixing.poisson_count(F.col("u"), F.lit(0.0), F.lit(3)).alias("none"))
+    rows = high.collect()
+    assert [x["k"] for x in rows] == list(mixing.counts_at(u, 900.0, 1000)) and abs(np.mean([x["k"] for x in rows]) - 900) < 5 and not any(x["none"] for x in rows)
     p = np.exp(-1.3) * np.cumprod(np.concatenate(([1.0], 1.3 / np.arange(1, 6))))
     want = np.minimum(np.searchsorted(np.cumsum(p), u, side="left"), 4)
     assert [x["k"] for x in df.collect()] == list(want)
@@ -63,6 +66,18 @@ def test_shares_and_caps(spark):
     assert sorted(x[0] for x in m.select("source").distinct().collect()) == ["a", "b", "c"]
 
 
+@has_ranks
+def test_size_and_a_source_that_is_short(spark):
+    """The wanted size is met but for a source that is at its cap, which is reported as short."""
+    r = random.Random(3)
+    docs = spark.createDataFrame([(i, "word " * r.randint(5, 60), "a" if i < 2000 else "b", None) for i in range(2010)], DOC)
+    targets = spark.createDataFrame([("a", 0.6, 2), ("b", 0.4, 2)], TARGET)
+    got = {x["source"]: x for x in mixing.shares(docs, targets, size=20_000.0).collect()}
+    assert abs(got["a"]["tokens"] - 12_000) < 60 and got["b"]["documents"] == 10 and got["b"]["most_repeats"] == 2 and got["b"]["tokens"] < 2 * 10 * 61
+    half = {x["source"]: x["tokens"] for x in mixing.shares(docs, targets, size=10_000.0).collect()}
+    assert abs(half["a"] - 6_000) < 60
+
+
 @has_ranks
 def test_mixing_of_nothing(spark):
     docs = spark.createDataFrame([], DOC)

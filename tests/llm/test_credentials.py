@@ -31,6 +31,15 @@ def found(text, language="python"):
         ("db:\n  pwd: s4ffr0n212!\n  host: h1\n", "yaml", ["s4ffr0n212!"]),
         ('{"a": {"secret_key": "zn+jWEPhdeS62"}}', "json", ["zn+jWEPhdeS62"]),
         ('[db]\npasswd = "zn+jWEPhdeS62"', "toml", ["zn+jWEPhdeS62"]),
+        ("steps:\n  - curl -u svc:puzk3zon01 https://x\n  - postgres://svc:pa7677zg6z@h/x\n", "yaml", ["puzk3zon01", "pa7677zg6z"]),
+        ("db: {user: svc, password: zn+jWEPhdeS62}\n", "yaml", ["zn+jWEPhdeS62"]),
+        ("db:\n  password: |\n    zn+jWEPhdeS62\n  host: h\n", "yaml", ["zn+jWEPhdeS62"]),
+        ('a = { user = "svc", passwd = "zn+jWEPhdeS62" }\n', "toml", ["zn+jWEPhdeS62"]),
+        ('{"args": ["--password=puzk3zon01", "x"], "password": ["zn+jWEPhdeS62"], "b": {"pwd": "s4ffr0n212!"}}', "json", ["puzk3zon01", "zn+jWEPhdeS62", "s4ffr0n212!"]),
+        ("mysql -usvc -ppqzytfkox6 idx\n", "shell", ["pqzytfkox6"]),
+        ('password = "' + "aB3-dE6+hI9." * 90 + '"', "python", ["aB3-dE6+hI9." * 90]),
+        ("db.password=" + "aB3-dE6+hI9." * 90, "properties", ["aB3-dE6+hI9." * 90]),
+        ('password =' + " " * 300 + '"Winter-Velvet37"', "python", ["Winter-Velvet37"]),
     ],
 )
 def test_found(text, language, want):
@@ -56,6 +65,18 @@ def test_key_over_lines_is_at_its_first_marker(spark):
     assert [(r["id"], r["line_no"]) for r in C.find_credentials(df).collect()] == [("a", 2)]
 
 
+def test_key_that_chunks_cut_is_redacted_in_all_of_them(spark):
+    body = [f"Ab3dEf6hIj9lMn2p{i:02}" * 3 for i in range(30)]
+    parts = ["x = 1\nk = \"\"\"\n-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(body[:10]), "\n".join(body[10:20]) + "\n", "\n".join(body[20:]) + '\n-----END RSA PRIVATE KEY-----\n"""\ny = 2', "\n".join(body[10:20]) + "\n"]
+    rows = [(str(i), t, "f.py" if i < 3 else "g.py", None, i * 1000) for i, t in enumerate(parts)]
+    df = spark.createDataFrame(rows, "id string, content string, source_file string, language string, start_byte int")
+    out = {r["id"]: r["content"] for r in C.redact_credentials(df).collect()}
+    assert out == {"0": 'x = 1\nk = """\nREDACTED', "1": "REDACTED", "2": 'REDACTED\n"""\ny = 2', "3": parts[3]}
+    assert [(r["id"], r["line_no"]) for r in C.find_credentials(df).where("kind = 'private key'").collect()] == [("0", 3)]
+    text = 'k = """-----BEGIN PRIVATE KEY-----\n' + "\n".join(body) + '\n"""\nreturn processRegistrySnapshot\n'
+    assert found(text) == ["-----BEGIN PRIVATE KEY-----\n" + "\n".join(body)]
+
+
 def test_redaction_keeps_every_other_byte(spark):
     text = 'näme = "ä"\r\npassword = "Winter-Velvet37"  # ü\r\n'
     rows = [("a", text, "f.py", "python", "x", 1), ("a", text, "f.py", "python", "y", 2), ("b", None, "f.py", None, None, None), ("c", "", None, None, None, None), ("d", "x = 1", None, None, None, None)]

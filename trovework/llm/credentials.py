@@ -52,6 +52,10 @@ TOKEN = re.compile(
 KEY_BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _BODY = re.compile(r"(?:[\s*/#;\"'+.,\\rn>-]|\\[nr])*(?:Proc-Type[^\n]*|DEK-Info[^\n]*|[\s*/#;\"'+]|\\[nr])*[A-Za-z0-9+/=]{16,}")
 _KEY_END = re.compile(r"-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
+#: The body of a key: runs of base64, 16 signs or more with a digit or sign among them, and a last shorter one, between quotes, comment signs and line ends.
+_GAP = r"(?:[\s*/#;\"'+.,>|(){}\[\]-]|\\[nr])"
+_RUN = r"(?=[A-Za-z]*[0-9+/=])[A-Za-z0-9+/=]{16,}"
+_KEY_BODY = re.compile(rf"(?:{_GAP}*(?:(?:Proc-Type|DEK-Info|Version|Comment)\b[^\n\\\"']*|{_RUN}))+(?:{_GAP}{{1,8}}[A-Za-z0-9+/]{{0,14}}={{1,2}})?")
 URL = re.compile(r"\b[a-zA-Z][a-zA-Z0-9+.\-]*://([^\s/:@\"'<>]*):([^\s/@\"'<>]+)@(?=[\w\[])")
 PARAM = re.compile(r"(?i)(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase)?|pwd|secret|(?:access|auth|api)[_-]?(?:token|key)|accountkey|sharedaccesskey|sig|token)=([^&;\s\"'<>]+)")
 HEADER = re.compile(r"(?i)\b(authorization|proxy-authorization|x-[a-z-]*(?:key|token|secret)|api-key|private-token)[\"']?\s*[:=,]\s*[\"']?\s*(?:(basic|bearer|token|apikey|key)\s+)?([^\s\"',;]+)")
@@ -64,6 +68,9 @@ _SETPASS = re.compile(r"(?i)(?:set_?|with_?)?(?:password|passwd|secret|api_?key|
 _NAME = re.compile(r"([A-Za-z_$@\u00c0-\u024f\u0400-\u04ff][\w$.\-]*)[\"'\]]*\s*(?:(?:(?<!:):(?!:)|\bas\b)\s*[\w<>\[\]?*&. :]+?\s*)?(?::=|=>|=|:)\s*(?:[\w.]+\()?\s*$")
 _KV = re.compile(r"([A-Za-z_\u00c0-\u024f\u0400-\u04ff][\w.\-]*)\s*(?::=|=>|=|:)\s*(\"[^\"\n]*\"|'[^'\n]*'|[^\s\"',;)]+)")
 _SPLIT = re.compile(r"[A-Z]+(?![a-zß-ÿ])|[A-Z]?[a-zß-ÿа-яё]+|[А-ЯЁ][а-яё]*|\d+")
+_SCALAR = re.compile(r"[|>][+-]?\d?[+-]?\s*(?:#.*)?\Z")
+#: A value in a map or list on one line, with its key if it has one.
+_FLOW = re.compile(r"""(?:([\w.\-]+|"[^"\n]*"|'[^'\n]*')\s*[:=]\s*)?(?:"([^"\n]*)"|'([^'\n]*)'|([^\s,{}\[\]"'][^,{}\[\]"'\n]*?)(?=\s*[,}\]]))""")
 _GLUE = re.compile(r"\s*(?:\+|\.|\.\.|<<|&|\\\n)?\s*\Z")
 _HEX = re.compile(r"[0-9a-fA-F]+\Z")
 _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}\Z")
@@ -94,14 +101,14 @@ def entropy(v: str) -> float:
 
 def random_like(v: str) -> bool:
     """One run of at least 20 letters and digits mixed as only a generator does; no hex, UUID, path or data."""
-    if not 20 <= len(v) <= 200 or _HEX.match(v) or _UUID.match(v) or _OTHER.match(v) or not re.fullmatch(r"[\w+/=.~\-]+", v):
+    if len(v) < 20 or _HEX.match(v) or _UUID.match(v) or _OTHER.match(v) or not re.fullmatch(r"[\w+/=.~\-]+", v):
         return False
     return bool(re.search(r"\d", v) and re.search(r"[A-Za-z]", v)) and entropy(v) > 3.6 and len(re.findall(r"[a-z](?=[A-Z0-9])|[0-9](?=[A-Za-z])|[A-Z](?=[0-9])", v)) >= 5
 
 
 def secret_value(v: str, level: int) -> bool:
     """Whether v is a secret under a key of that level, or by a context that takes only secrets (3)."""
-    if PLACEHOLDER.match(v) or len(v) > 400:
+    if PLACEHOLDER.match(v):
         return False
     if TOKEN.fullmatch(v):
         return True
@@ -181,24 +188,26 @@ def config_values(t: str, language: str) -> Iterator[tuple[str, int, int]]:
                     yield "/".join([*stack[:-1], named[1] if named else m[2]]), m.start(5) + lead, m.start(5) + len(m[5].rstrip())
         return
     if language == "json":
-        keys: list[str] = []
-        for m in re.finditer(r"([{\[])|([}\]])|\"((?:\\.|[^\"\\])*)\"\s*:\s*(?:\"((?:\\.|[^\"\\])*)\"|(?=([{\[])))?", t):
-            if m[3] is not None:
-                if m[4] is not None:
-                    yield "/".join([k for k in keys if k] + [m[3]]), m.start(4), m.end(4)
-                elif m[5]:
-                    keys.append(m[3])
-                    keys.append("\0")
-            elif m[1]:
-                if keys and keys[-1] == "\0":
-                    keys.pop()
-                else:
-                    keys.append("")
-            elif keys:
-                keys.pop()
+        # an object's place on the stack holds the key of the value that comes next, an array's the key that it is the value of
+        stack, owner = [], []
+        for m in re.finditer(r"([{\[])|([}\]])|\"((?:\\.|[^\"\\])*)\"(\s*:)?|(,)", t):
+            if m[1]:
+                stack.append((m[1], ""))
+                owner.append(m[1] == "[")
+            elif m[2]:
+                if stack:
+                    stack.pop()
+                    owner.pop()
+            elif m[4]:
+                if stack and not owner[-1]:
+                    stack[-1] = ("{", m[3])
+            elif m[3] is not None:
+                yield "/".join(k for _, k in stack if k), m.start(3), m.end(3)
+            elif stack and not owner[-1]:
+                stack[-1] = ("{", "")
         return
     section, levels = "", []
-    for m in re.finditer(r"(?m)^([ \t]*)(?:-[ \t]+)?(?:export[ \t]+|set[ \t]+)?(?:\[+([^\]\n]+)\]+|(\"[^\"\n]+\"|'[^'\n]+'|[\w.\-/]+)[ \t]*(:=|=|:(?=[ \t\r\n]|$)|:(?=\S)))?([^\n]*)$", t):
+    for m in re.finditer(r"(?m)^([ \t]*)(?:-[ \t]+)?(?:export[ \t]+|set[ \t]+)?(?:\[+([^\]\n]+)\]+|(\"[^\"\n]+\"|'[^'\n]+'|[\w.\-/]+)[ \t]*(:=|=|:(?=[ \t\r\n]|$)|:(?!//)(?=\S)))?([^\n]*)$", t):
         if m[2] and language in ("toml", "properties", "dotenv"):
             section = m[2].strip() + "/"
         if m[3] is None or language != "properties" and m[0].lstrip().startswith("#") or language == "yaml" and m[4] != ":" or language in ("dotenv", "shell", "toml") and m[4] != "=":
@@ -213,6 +222,16 @@ def config_values(t: str, language: str) -> Iterator[tuple[str, int, int]]:
         if language == "yaml" and not v:
             levels.append((depth, key))
             continue
+        if language == "yaml" and _SCALAR.match(v):  # the block's only line, if it has one
+            block = re.compile(rf"(?:\r?\n[ \t]*(?=\r?\n|\Z))*\r?\n[ \t]{{{depth + 1},}}(\S[^\n]*?)[ \t\r]*(?=\n|\Z)(?!\n[ \t]{{{depth + 1},}}\S)").match(t, m.end())
+            if block:
+                yield path, block.start(1), block.end(1)
+            continue
+        if v[:1] in ("{", "[") and language in ("yaml", "toml"):
+            for x in _FLOW.finditer(t, at, at + len(v)):
+                k = 2 if x[2] is not None else 3 if x[3] is not None else 4
+                yield f"{path}/{x[1].strip(chr(34) + chr(39))}" if x[1] else path, x.start(k), x.end(k)
+            continue
         if v[:1] in "\"'" and v:
             end = v.find(v[0], 1)
             v, at = v[1 : end if end > 0 else len(v)], at + 1
@@ -221,6 +240,22 @@ def config_values(t: str, language: str) -> Iterator[tuple[str, int, int]]:
         yield path, at, at + len(v)
 
 
+#: The kind of a place that continues a key of the chunk before.
+PART = "part of a private key"
+
+
+def key_state(content: str) -> int:
+    """1 where content ends inside a private key, 2 where it is nothing but a key's body, else 0."""
+    last = None
+    if "PRIVATE KEY" in content:
+        for last in KEY_BEGIN.finditer(content):
+            pass
+        return int(last is not None and bool(m := _KEY_BODY.match(content, last.end())) and m.end() >= len(content.rstrip(" \t\r\n\"'+*/#;,\\")))
+    head = content[:200].split("\n", 1)[0]
+    m = _KEY_BODY.match(content) if re.search(_RUN, head) else None
+    return 2 if m and not content[m.end() :].strip() else 0
+
+
 def secrets(content: str, language: str) -> list[tuple[int, int, str, str]]:
     """(start, end, key, kind) of each credential in content, in characters, without overlaps, in order."""
     found: list[tuple[int, int, str, str]] = []
@@ -228,9 +263,17 @@ def secrets(content: str, language: str) -> list[tuple[int, int, str, str]]:
         for m in KEY_BEGIN.finditer(content):
             if _BODY.match(content, m.end()):
                 end = _KEY_END.search(content, m.end())
-                found.append((m.start(), end.end() if end else min(len(content), m.end() + 64), "", "private key"))
+                # a key that the chunk's border cuts reaches to the end of its body
+                found.append((m.start(), end.end() if end else _KEY_BODY.match(content, m.end()).end(), "", "private key"))
+        first = _KEY_END.search(content)
+        if first and not KEY_BEGIN.search(content, 0, first.start()) and (rest := _KEY_BODY.match(content)) and not content[rest.end() : first.start()].strip(" \t\r\n\"'+*/#;,\\"):
+            found.append((0, first.end(), "", PART))  # the rest of a key that began in the chunk before
     if language in CONFIG:
+        rest = 0
         for key, a, b in config_values(content, language):
+            if a > rest:
+                in_text(content[rest:a], rest, found)
+            rest = max(rest, b)
             v = content[a:b]
             if language == "xml":
                 v = v.replace("&lt;", "<").replace("&gt;", ">").replace("&amp;", "&").replace("&quot;", '"')
@@ -241,6 +284,7 @@ def secrets(content: str, language: str) -> list[tuple[int, int, str, str]]:
                 in_text(content[a:b].replace("&amp;", "&    ") if "&amp;" in content[a:b] else content[a:b], a, found)
                 if not level and random_like(v) and TOKEN.search(v):
                     found.append((a, b, key, "shape"))
+        in_text(content[rest:], rest, found)
     scan = scanner(language) or scanner("javascript")
     joined: list[tuple[int, int]] = []
     for m in scan.finditer(content):
@@ -298,7 +342,8 @@ def _literal(content: str, parts: list[tuple[int, int]], found: list) -> None:
         found.extend((a, b, "", "shape") for a, b in spans if b > a)
         return
     s = parts[0][0]
-    before = content[max(0, content.rfind("\n", 0, s) + 1, s - 160) : s]
+    line = content.rfind("\n", 0, s) + 1
+    before = content[max(line, min(s - 160, max(content.rfind(c, line, s) for c in ",;{}"))) : s]
     name = _NAME.search(before)
     level = sensitive(name[1]) if name else 0
     if not level and (_CALL.search(before) or _SETPASS.search(before)):
@@ -338,13 +383,24 @@ def find_credentials(chunks: DataFrame) -> DataFrame:
 
 
 def redact_credentials(chunks: DataFrame, mark: str = "REDACTED") -> DataFrame:
-    """id, content with each credential's bytes replaced by mark, and n_redacted; each id comes out once."""
+    """id, content with each credential's bytes replaced by mark, and n_redacted; each id comes out once.
+
+    A key that chunks' borders cut is redacted in all of them: a chunk of nothing but a key's body is redacted whole where a
+    chunk before it in its file ends inside a key. Such chunks are few, and only their ids and places are joined.
+    """
+    slim = chunks.select("id", "content", "source_file", "language", "start_byte") if "start_byte" in chunks.columns else chunks.select("id", "content", "source_file", "language", F.lit(0).alias("start_byte"))
+    state = F.pandas_udf(lambda s: pd.Series([key_state(t) if t else 0 for t in s], dtype="int32"), "int")
+    # the signs that a body or a marker must hold are looked for before anything leaves the JVM
+    maybe = slim.where(F.contains("content", F.lit("PRIVATE KEY")) | F.col("content").rlike(r"\A[^\n]{0,40}[A-Za-z0-9+/=]{16}[^\n ]{0,80}(?:\n|\z)"))
+    cut = maybe.select("id", "source_file", "start_byte", state("content").alias("state")).where("state > 0")
+    opened = cut.where("state = 1 and source_file is not null").groupBy("source_file").agg(F.min("start_byte").alias("opened"))
+    bodies = cut.where("state = 2").join(opened, "source_file").where("start_byte >= opened").select("id").distinct().withColumn("body", F.lit(True))
 
     @F.pandas_udf("content string, n_redacted int")
-    def splice(content: pd.Series, path: pd.Series, lang: pd.Series) -> pd.DataFrame:
+    def splice(content: pd.Series, path: pd.Series, lang: pd.Series, body: pd.Series) -> pd.DataFrame:
         out = []
-        for t, p, g in zip(content, path, lang):
-            sites = secrets(t, language_of(p, g)) if t else []
+        for t, p, g, whole in zip(content, path, lang, body):
+            sites = [(0, len(t), "", PART)] if t and whole else secrets(t, language_of(p, g)) if t else []
             raw, at, parts = (t or "").encode("utf-8", "surrogatepass"), 0, []
             for a, b, _, _ in sites:
                 x = len(t[:a].encode("utf-8", "surrogatepass"))
@@ -353,5 +409,6 @@ def redact_credentials(chunks: DataFrame, mark: str = "REDACTED") -> DataFrame:
             out.append((t if not sites else b"".join([*parts, raw[at:]]).decode("utf-8", "surrogatepass"), len(sites)))
         return pd.DataFrame(out, columns=["content", "n_redacted"])
 
-    slim = chunks.select("id", "content", "source_file", "language").dropDuplicates(["id"])
-    return slim.select("id", splice("content", "source_file", "language").alias("r")).select("id", "r.content", "r.n_redacted")
+    one = slim.join(bodies, "id", "left")
+    done = one.select("id", splice("content", "source_file", "language", F.coalesce("body", F.lit(False))).alias("r"))
+    return done.select("id", "r.content", "r.n_redacted").dropDuplicates(["id"])

@@ -12,7 +12,8 @@ from trovework.session import table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return credentials.find_credentials(table(spark, sf_dir, "code_chunks_vectors")).select("id", "line_no").distinct()
+    # the rest of a key that a chunk before begins is none of its own: the key's line is that of its first marker
+    return credentials.find_credentials(table(spark, sf_dir, "code_chunks_vectors")).where(F.col("kind") != credentials.PART).select("id", "line_no").distinct()
 
 
 def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:

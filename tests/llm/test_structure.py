@@ -87,15 +87,16 @@ def greedy(text, members, limit=4000, overlap=200):
 
 def test_members(spark):
     df = frame(spark, chunk("1", big(), kind="class", name="A"), chunk("2", "x", kind="class"), chunk("3", big(), kind="method", name="A.f"))
-    got = {r["line_no"] for r in splitting.boundaries(df).where("member").collect()}
-    assert got == {2 + 5 * i for i in range(300)}
-    assert {r["id"] for r in splitting.boundaries(df).where("member").collect()} == {"1"}
+    got = {(r["id"], r["line_no"]) for r in splitting.member_starts(df).collect()}
+    assert got == {("1", 2 + 5 * i) for i in range(300)}
+    far = frame(spark, chunk("1", big(2) + "x = 1\n" * 9_000 + "z" * 9_000 + "\n" + big(2)[9:], kind="class", name="A"))  # members out of each other's reach
+    assert len(splitting.member_starts(far).collect()) == 4
 
 
 @pytest.mark.parametrize("text", [big(), "y" * 15_000, "a b\n" * 3_000, big(60) + "z" * 9_000 + "\n" + big(40, False), "é\r\n" * 5_000])
 def test_cuts_by_brute_force(spark, text):
     df = frame(spark, chunk("1", text, kind="class", name="A"), chunk("1", text, kind="class", name="A"), chunk("n", None), chunk("e", ""))
-    members = [r["at"] for r in splitting.boundaries(df).where("member").collect()]
+    members = [r["at"] for r in splitting.members(df).collect()]
     want = greedy(text, members)
     pieces = splitting.split(df).orderBy("piece").collect()
     assert len(pieces) == len(want)

@@ -42,8 +42,7 @@ def p3_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bounds = splitting.boundaries(table(spark, sf_dir, "code_chunks_vectors"))
-    return bounds.where("member and line_no > 1").select("id", F.col("line_no").cast("int")).distinct()
+    return splitting.member_starts(table(spark, sf_dir, "code_chunks_vectors")).where("line_no > 1").select("id", F.col("line_no").cast("int"))
 
 
 def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -287,11 +287,11 @@ def _python(code: str, out: list, heads: list, docs: list) -> None:
         inside = max(0, inside + sum(map(line.count, "([{")) - sum(map(line.count, ")]}")))
 
 
-_LEXED = "start array<int>, end array<int>, line array<int>, end_line array<int>, kind array<tinyint>, fn array<tinyint>, text array<string>"
+_LEXED = "start array<int>, end array<int>, bol array<int>, line array<int>, end_line array<int>, kind array<tinyint>, fn array<tinyint>, text array<string>"
 
 
-def shaped(content: str, language: str) -> list[tuple[int, int, int, int, int, int, str | None]]:
-    """The tokens of a chunk that has a function header: start, end, line, end_line, kind, function?, and a text.
+def shaped(content: str, language: str) -> list[tuple[int, int, int, int, int, int, int, str | None]]:
+    """The tokens of a chunk that has a function header: start, end, begin of the line, line, end_line, kind, function?, and a text.
 
     A header's text is its name and the stems of the name, that of a comment or docstring its stems, all with blanks between; null
     where it says nothing. Comments and annotations that something else than a header follows are left out.
@@ -319,12 +319,12 @@ def shaped(content: str, language: str) -> list[tuple[int, int, int, int, int, i
         elif kind in (COMMENT, DOCSTRING):
             words = doc_words(text)
         last = line if kind in (OPEN, CLOSE, TYPE) or e - s < 2 else line + count("\n", s, e - 1)
-        out.append((s, e, line, last, kind, fn, None if words is None else " ".join(words)))
+        out.append((s, e, content.rfind("\n", 0, s) + 1, line, last, kind, fn, None if words is None else " ".join(words)))
     return out
 
 
 def _lex(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = [pa.int32()] * 4 + [pa.int8()] * 2 + [pa.string()]
+    types = [pa.int32()] * 5 + [pa.int8()] * 2 + [pa.string()]
     for b in batches:
         rows, sizes, kept = [], [0], []
         for n, (t, p, g) in enumerate(zip(*(b.column(c).to_pylist() for c in ("content", "source_file", "language")))):
@@ -332,7 +332,7 @@ def _lex(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows += found
                 sizes.append(len(rows))
                 kept.append(n)
-        flat = [*zip(*rows)] or [()] * 7
+        flat = [*zip(*rows)] or [()] * 8
         arrays = [pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(c, t)) for c, t in zip(flat, types)]
         rest = b.drop_columns(["content", "source_file", "language"]).take(pa.array(kept, pa.int32()))
         yield pa.RecordBatch.from_arrays([*rest.columns, *arrays], names=[*rest.schema.names, *(c.split()[0] for c in _LEXED.split(", "))])
@@ -366,7 +366,7 @@ def headers(lex: DataFrame, *more: str) -> DataFrame:
     joined = (F.col("line") == F.lag("end_line").over(by_id) + 1) & F.lag("kind").over(by_id).isin(COMMENT, ANNOTATION) & F.col("kind").isin(COMMENT, ANNOTATION, HEADER)
     t = t.withColumn("island", F.sum(F.when(joined, 0).otherwise(1)).over(by_id))
     inland = Window.partitionBy("id", "island").orderBy("pos")
-    t = t.withColumn("first_line", F.min("line").over(inland)).withColumn("above", F.collect_list(F.when(F.col("kind") == COMMENT, F.col("text"))).over(inland))
+    t = t.withColumn("first_line", F.min("line").over(inland)).withColumn("first_bol", F.min("bol").over(inland)).withColumn("above", F.collect_list(F.when(F.col("kind") == COMMENT, F.col("text"))).over(inland))
     t = t.withColumn("doc_start", F.min(F.when(F.col("kind") == COMMENT, F.col("start"))).over(inland)).withColumn("doc_end", F.max(F.when(F.col("kind") == COMMENT, F.col("end"))).over(inland))
     # a docstring belongs to the header before it, with nothing but comments between
     t = t.where(F.col("kind").isin(HEADER, DOCSTRING, TYPE, OPEN))
@@ -378,7 +378,7 @@ def headers(lex: DataFrame, *more: str) -> DataFrame:
     t = t.withColumn("words", F.split("text", " ")).withColumn("name", F.element_at("words", 1)).withColumn("words", F.slice("words", 2, F.size("words")))
     docs = F.filter(F.concat(F.col("above"), F.array("docstring")), lambda w: w.isNotNull())
     says = F.exists(docs, lambda w: F.size(F.array_except(F.split(w, " "), F.col("words"))) > 0)
-    return t.select("id", *more, "name", "line", "first_line", "start", "depth", "words", "code_end", F.coalesce(says, F.lit(False)).alias("documented"), "doc_start", "doc_end", "ds_start", "ds_end")
+    return t.select("id", *more, "name", "line", "first_line", "first_bol", "start", "depth", "words", "code_end", F.coalesce(says, F.lit(False)).alias("documented"), "doc_start", "doc_end", "ds_start", "ds_end")
 
 
 def functions_with_docs(chunks: DataFrame, results: DataFrame) -> DataFrame:

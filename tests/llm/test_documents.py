@@ -96,31 +96,47 @@ def index():
     return offence.build([(b, 1) for b in BAD] * 2 + [(g, 0) for g in GOOD] * 3 + [(BAD[0] + " " + GOOD[0], 1), (GOOD[1], 1), (None, 1), ("", 0)])
 
 
+def cosines(index, tokens):
+    """All cosines of one list, one after the other."""
+    def weights(t):
+        where, what, count = index.features([t])
+        df = dict(zip(index.vocabulary.tolist(), index.idf.tolist()))
+        v = {w: (1 + np.log(n)) * df.get(w, index.unseen) for w, n in zip(what.tolist(), count.tolist())}
+        norm = np.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    q = weights(tokens)
+    return np.array([sum(x * q.get(w, 0.0) for w, x in weights(t).items()) for t in index.tokens])
+
+
 def test_nearest_by_brute_force(index):
-    """Block-max pruning finds the same neighbours as all cosines."""
-    for s in [*BAD, *GOOD, "You idiot, the list is sorted by size twice."]:
-        t = offence.words(offence.plain(s))
-        c = offence.features(t)
-        v = np.zeros(len(index.row) + 1, dtype=np.float64)
-        norm = 0.0
-        for k, n in c.items():
-            w = (1 + np.log(n)) * (index.idf[index.row[k]] if k in index.row else index.unseen)
-            norm += float(w) ** 2
-            if k in index.row:
-                v[index.row[k]] = w
-        cos = v @ index.weights / np.sqrt(norm)
-        want = np.sort(cos)[::-1][: offence.K]
-        i, got = index.nearest(t)
-        if len(i):
-            assert np.allclose(got, want[want > 0][: len(got)], atol=1e-5) and len(got) == min(offence.K, (want > 0).sum())
-        else:
-            assert cos[index.label >= 0.3].max(initial=0) < offence.FLOOR
+    """Block-max pruning finds the same neighbours as all cosines, and the scores of what is passed over can't reach the threshold."""
+    small = offence.Index([(t, y) for t, y in zip(index.tokens, index.label)], block=4)
+    texts = [*BAD, *GOOD, "You idiot, the list is sorted by size twice.", "zzz qqq", "list", "Two of the entries are sorted and everybody knows it."]
+    lists = [offence.words(offence.plain(s)) for s in texts] + [[]]
+    for ix in (index, small):
+        q, j, got = ix.nearest(lists)
+        score, _ = ix.scores(lists)
+        for k, t in enumerate(lists):
+            cos = cosines(ix, t)
+            want = np.sort(cos[cos > 0])[::-1][: offence.K]
+            assert np.allclose(got[q == k], want, atol=1e-5)
+            assert np.allclose(cos[j[q == k]], got[q == k], atol=1e-5)
+            top = j[q == k]
+            yes, no = (cos[top] ** 2 * ix.label[top]).sum(), (cos[top] ** 2 * (1 - ix.label[top])).sum()
+            exact = yes / (yes + no + (offence.NOBODY_SHORT if len(t) < offence.LEAST else offence.NOBODY))
+            assert abs(score[k] - exact) < 1e-5 if score[k] else exact < offence.THRESHOLD
+
+
+def test_every_sentence_counts():
+    """Short sentences, remarks of code, lines that only look like code, and words joined by underscores."""
+    s = offence.sentences("You idiot!\nx = f(1)  # you are an idiot, go away\nYou are a worthless idiot, your parse() is vermin.\nyou_are_an_idiot\nfor (int i = 0; i < n; i++) {")
+    assert s == ["you idiot!", "you are an idiot, go away", "x = f(1) # you are an idiot, go away", "you are a worthless idiot, your parse() is vermin.", "you are an idiot"]
 
 
 @pytest.mark.parametrize("text", ["you are a clueless idiot and everybody knows it", "Yоu аrе а usеlеss idiоt аnd еvеrybоdy knоws it.", "Y0u 4r3 4 u53l355 1d10t 4nd 3v3ryb0dy kn0w5 1t.", "You are a useless i d i o t and everybody knows it.", "You are a useless i***t and everybody knows it.", "You are a useless id\u200biot and everybody knows it."])
 def test_disguises(index, text):
-    s = offence.sentences(text)
-    assert max(index.score(index.unmask(offence.words(x)))[0] for x in s) >= offence.THRESHOLD
+    assert index.scores([index.unmask(offence.words(x)) for x in offence.sentences(text)])[0].max() >= offence.THRESHOLD
 
 
 def test_documents(spark, index):

@@ -27,7 +27,7 @@ def test_queries_equal_their_sql(spark):
     sql = catalogue.oracle_sql()
     queries = catalogue.queries()
     assert set(sql) <= set(queries)
-    for name in ("keyword_search", "hybrid_search", "facets", "snapshot_changes", "file_states", "declarations", "nearest_vectors", "inheritance_closure", "result_quality", "usage", "citations"):
+    for name in ("keyword_search", "hybrid_search", "facets", "snapshot_changes", "file_states", "declarations", "nearest_vectors", "inheritance_closure", "result_quality", "usage", "citations", "upserted", "embedding_texts", "prompt_selection", "transitive_search", "phrase_search", "nearest_by_cells_recall", "mode_comparison", "repository_of_file", "index_build"):
         df = queries[name](spark, DIR)
         cols = sorted(df.columns)
         got = sorted(repr([plain(r[c]) for c in cols]) for r in df.collect())

@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that the analyser leaves out, common English words and Java keywords.
+#: Words that the analyser leaves out, common English words and words of Java.
 STOP_WORDS = tuple(
-    "a an and are as at be by for from has he in is it its of on that the to was were will with abstract assert boolean break byte case catch char class const continue default do double else enum extends final finally"
-    " float if implements import instanceof int interface long native new null private protected public return short static super switch synchronized this throw throws void volatile while".split()
+    "a an and are as at be by for from has he in is it its of on that the to was will with would"
+    " public private protected static final class interface enum abstract extends implements import return void int long double float boolean char byte short new this super null true false"
+    " if else while do switch case default try catch finally throw throws break continue".split()
 )
-#: Directories that end a repository's part of a path, build files, and hosts.
-SOURCE_DIRS = ("src", "main", "test", "docs")
-BUILD_DIRS = ("src", "main", "test", "tests", "docs", "java", "build", "target", "lib", "bin", "resources")
+#: Fixed values for the repository of a path: hosts, directories below a repository, build files, and directories that name none.
 HOSTS = ("github.com", "gitlab.com", "bitbucket.org")
+SOURCE_DIRS = ("src", "main", "test", "docs")
+BUILD_FILES = ("README", "package.json", "pom.xml", "build.gradle", "Cargo.toml", "go.mod")
+COMMON_DIRS = ("java", "com", "org", "net", "io")
+BUILD_DIRS = (*COMMON_DIRS, *SOURCE_DIRS, "bin", "target", "build", "out", "dist")
 
 
 def parts(token: Column) -> Column:
@@ -30,7 +33,8 @@ def terms(text: Column) -> Column:
 
     Stop words are left out. Null gives null, a text without tokens an empty array.
     """
-    tokens = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    # the possessive s is no term
+    tokens = F.regexp_extract_all(F.regexp_replace(text, r"([\p{L}\p{N}])['’][sS]($|[^\p{L}\p{N}_])", "$1$2"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
     def of(token: Column) -> Column:
         p = parts(token)
@@ -42,16 +46,23 @@ def terms(text: Column) -> Column:
 
 
 def repository_of(path: Column) -> Column:
-    """The repository of a file by its path: after a host, else before a source directory, else owner/repository; unknown where none fits."""
-    p = F.split(F.lower(F.regexp_replace(F.coalesce(path, F.lit("")), r"\\", "/")), "/")
-    valid = lambda c: F.when((F.length(c) > 1) & ~F.contains(c, F.lit(".")), c)
-    at = lambda i: F.try_element_at(p, i if isinstance(i, Column) else F.lit(i))
-    by_host = F.coalesce(*[F.when(F.array_position(p, h) > 0, valid(at((F.array_position(p, h) + 2).cast("int")))) for h in HOSTS])
-    first = F.least(*[F.when(F.array_position(p, d) > 1, F.array_position(p, d)) for d in SOURCE_DIRS])
-    by_dir = F.when(first > 1, valid(at((first - 1).cast("int"))))
-    pair = F.when(F.size(p) >= 3, valid(at(2)))
-    single = F.when(F.size(p) == 2, valid(at(1)))
-    return F.coalesce(by_host, by_dir, pair, single, F.lit("unknown"))
+    """The repository of a file by its path, in lower case; a name has two characters at least and no dot.
+
+    The first that fits: two parts below a host; what stands above a source directory; what stands above a build file; the last part
+    where the two last are names; the last directory that isn't a usual one; unknown.
+    """
+    p = F.split(F.regexp_replace(F.coalesce(path, F.lit("")), r"\\", "/"), "/")
+    at = lambda i: F.try_element_at(p, i.cast("int"))
+    valid = lambda c: (F.length(c) > 1) & ~F.contains(c, F.lit("."))
+    places = F.filter(F.sequence(F.lit(1), F.greatest(F.size(p), F.lit(1))), lambda i: i <= F.size(p))
+    first = lambda holds, value: F.try_element_at(F.transform(F.filter(places, holds), value), F.lit(1))
+    by_host = first(lambda i: at(i).isin(*HOSTS) & F.coalesce(valid(at(i + 2)), F.lit(False)), lambda i: at(i + 2))
+    by_dir = first(lambda i: F.coalesce(at(i + 1).isin(*SOURCE_DIRS), F.lit(False)) & valid(at(i)) & ~at(i).isin(*COMMON_DIRS), at)
+    by_file = first(lambda i: F.coalesce(at(i + 1).isin(*BUILD_FILES), F.lit(False)) & valid(at(i)), at)
+    last, before = F.element_at(p, -1), F.try_element_at(p, F.lit(-2))
+    pair = F.when(valid(last) & valid(before) & ~last.isin(*COMMON_DIRS) & ~before.isin(*COMMON_DIRS), last)
+    rest = F.try_element_at(F.filter(F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0))), lambda x: valid(x) & ~x.isin(*BUILD_DIRS)), F.lit(-1))
+    return F.lower(F.coalesce(by_host, by_dir, by_file, pair, rest, F.lit("unknown")))
 
 
 def metadata_field(name: Column) -> Column:

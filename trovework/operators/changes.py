@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trovework.operators.chunks import delete_by, latest
@@ -32,11 +32,11 @@ def clean(changes: DataFrame) -> DataFrame:
 
 
 def last_state(changes: DataFrame) -> DataFrame:
-    """path, alive, changed_at: what the last change of each path says of it; a rename ends its old path."""
+    """path, alive, changed_at, change_id: what the last change of each path says of it; a rename ends its old path."""
     c = clean(changes)
     says = c.select(F.col("file_path").alias("path"), (F.col("change_type") != "DELETED").alias("alive"), "changed_at", "change_id")
     ends = c.where("change_type = 'RENAMED' and old_path is not null and old_path != file_path").select(F.col("old_path").alias("path"), F.lit(False).alias("alive"), "changed_at", "change_id")
-    return latest(says.unionByName(ends), "path", F.col("changed_at"), F.col("change_id"), F.col("alive")).select("path", "alive", "changed_at")
+    return latest(says.unionByName(ends), "path", F.col("changed_at"), F.col("change_id"), F.col("alive")).select("path", "alive", "changed_at", "change_id")
 
 
 def apply(table: DataFrame, changes: DataFrame, fresh: DataFrame | None = None) -> DataFrame:
@@ -58,3 +58,34 @@ def index_state(changes: DataFrame) -> DataFrame:
     c = clean(changes).where("repository is not null")
     last = latest(c, "repository", F.col("changed_at"), F.col("change_id")).select("repository", "commit_sha", "changed_at")
     return last.join(c.groupBy("repository").agg(F.count("*").alias("changes")), "repository")
+
+
+_STATE = "repository string, commit_sha string, changed_at timestamp, gone boolean"
+
+
+def _version(spark: SparkSession, path: str) -> DataFrame:
+    """All rows that were ever written to a store of states, with the number of the write."""
+    return spark.read.schema(_STATE + ", written int").parquet(path)
+
+
+def _append(states: DataFrame, path: str, gone: bool) -> None:
+    spark = states.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    last = [int(f.getPath().getName().split("=")[1]) for f in fs.listStatus(at) if "=" in f.getPath().getName()] if fs.exists(at) else []
+    states.withColumn("gone", F.lit(gone)).write.parquet(f"{path}/written={max(last, default=0) + 1}")
+
+
+def save_states(states: DataFrame, path: str) -> None:
+    """Adds repository, commit_sha and changed_at to the store under path; what is saved last of a repository counts. One writer at a time."""
+    _append(states.select("repository", "commit_sha", "changed_at"), path, False)
+
+
+def delete_states(repositories: DataFrame, path: str) -> None:
+    """Takes repositories (one column) out of the store."""
+    _append(repositories.toDF("repository").select("repository", F.lit(None).cast("string").alias("commit_sha"), F.lit(None).cast("timestamp").alias("changed_at")), path, True)
+
+
+def find_states(spark: SparkSession, path: str) -> DataFrame:
+    """repository, commit_sha and changed_at as last saved."""
+    return latest(_version(spark, path), "repository", F.col("written"), F.col("changed_at"), F.col("commit_sha")).where("not gone").drop("gone", "written")

@@ -30,21 +30,28 @@ PATTERNS = (
 NOT_NAMES = ("if", "for", "while", "switch", "catch", "return", "else", "new", "do", "try", "using", "lock", "foreach", "synchronized")
 
 
+#: A line that begins as a comment.
+COMMENT = r"^\s*(?://|/\*|\*|#)"
+
+
 def declarations(chunks: DataFrame) -> DataFrame:
-    """id, line_no, kind, name and parents of each line that declares a type or function; lines of comments too, as text alone decides."""
+    """id, line_no, kind, name and parents of each line that declares a type or function; lines that begin as comments are none."""
     p = chunks.sparkSession.createDataFrame(PATTERNS, "lang string, type_pattern string, function_pattern string")
-    lines = chunks.select("id", parser_of(F.col("source_file")).alias("lang"), F.posexplode(F.split("content", "\n")).alias("n", "line")).where("line rlike '\\\\w'")
+    lines = chunks.select("id", parser_of(F.col("source_file")).alias("lang"), F.posexplode(F.split("content", "\n")).alias("n", "line")).where(F.col("line").rlike(r"\w") & ~F.col("line").rlike(COMMENT))
     j = lines.join(F.broadcast(p), "lang")  # as many rows as there are languages
     at = lambda pattern, g: F.expr(f"regexp_extract(line, {pattern}, {g})")
     j = j.withColumns({"t": at("type_pattern", 2), "f": at("function_pattern", 2)})
     kind = F.when(F.col("t") != "", F.lower(at("type_pattern", 1))).otherwise(F.lit("function"))
     name = F.when(F.col("t") != "", F.col("t")).otherwise(F.col("f"))
-    parents = F.regexp_replace(F.trim(F.regexp_extract("line", r"\b(?:extends|implements|:)\s+([\w.<>, ]+)", 1)), r"\s+(?:extends|implements|with)\s+", ", ")
+    parents = F.trim(F.regexp_extract("line", r"(?:\b(?:extends|implements)|:)\s+([\w.<>, ]+)", 0))
     out = j.select("id", (F.col("n") + 1).alias("line_no"), kind.alias("kind"), name.alias("name"), F.when(F.col("t") != "", parents).otherwise(F.lit("")).alias("parents"))
     return out.where((F.col("name") != "") & ~F.col("name").isin(*NOT_NAMES))
 
 
 def inheritance(found: DataFrame) -> DataFrame:
-    """src (the parent), dst (the child), each pair once, as graph.closure() takes it."""
-    e = found.where("parents != ''").select(F.explode(F.split("parents", r",\s*")).alias("src"), F.col("name").alias("dst"))
+    """src (the parent), dst (the child), relation (EXTENDS or IMPLEMENTS) and label (the child's kind), each once, as graph.closure() takes it."""
+    p = found.where("parents != ''").withColumn("p", F.regexp_replace("parents", r"^:\s*", "extends "))
+    parts = lambda word, name: F.struct(F.lit(name).alias("relation"), F.split(F.regexp_replace(F.regexp_extract("p", rf"\b{word}\s+(.*?)(?:\s+(?:extends|implements)\s|$)", 1), r"\s+with\s+", ", "), r"\s*,\s*").alias("names"))
+    both = p.select(F.col("name").alias("dst"), F.col("kind").alias("label"), F.explode(F.array(parts("extends", "EXTENDS"), parts("implements", "IMPLEMENTS"))).alias("r"))
+    e = both.select(F.explode("r.names").alias("src"), "dst", "r.relation", "label").withColumn("src", F.trim("src"))
     return e.where("src != '' and src != dst").distinct()

@@ -35,6 +35,29 @@ def closure(edges: DataFrame, starts: DataFrame, depth: int = 5, itself: bool =
     return seen if itself else seen.where("depth > 0")
 
 
+def _labelled(edges: DataFrame, starts: DataFrame, *labels: str) -> DataFrame:
+    """Of starts (one column) those that a declaration labels so; a name without a declaration of its own has its parent's side only, and no label."""
+    n = starts.toDF("name").distinct()
+    return n.join(edges.where(F.lower("label").isin(*labels)).select(F.col("dst").alias("name")).distinct(), "name", "left_semi")
+
+
+def implementations(edges: DataFrame, starts: DataFrame, depth: int = 5) -> DataFrame:
+    """As closure(), from the interfaces among starts, along both relations; edges have src, dst, relation and label, as inheritance() gives them."""
+    return closure(edges.where(F.col("relation").isin("IMPLEMENTS", "EXTENDS")).select("src", "dst").distinct(), _labelled(edges, starts, "interface", "trait", "protocol"), depth)
+
+
+def subclasses(edges: DataFrame, starts: DataFrame, depth: int = 5) -> DataFrame:
+    """As closure(), from the classes among starts, along EXTENDS."""
+    return closure(edges.where("relation = 'EXTENDS'").select("src", "dst").distinct(), _labelled(edges, starts, "class", "struct"), depth)
+
+
+def usages(edges: DataFrame, starts: DataFrame, depth: int = 5) -> DataFrame:
+    """Each start itself, its implementations and its subclasses, each name once, at its least depth."""
+    first = starts.toDF("start").where("start is not null").distinct().select("start", F.col("start").alias("name"), F.lit(0).alias("depth"), F.col("start").alias("path"))
+    found = first.unionByName(implementations(edges, starts, depth)).unionByName(subclasses(edges, starts, depth))
+    return found.groupBy("start", "name").agg(F.min(F.struct("depth", "path")).alias("r")).select("start", "name", "r.depth", "r.path")
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """name, children and parents of each node."""
     n = edges.select(F.col("src").alias("name"), F.lit(1).alias("c"), F.lit(0).alias("p")).unionAll(edges.select(F.col("dst").alias("name"), F.lit(0).alias("c"), F.lit(1).alias("p")))

@@ -40,6 +40,29 @@ def recommended_weights(keyword: float, vector: float, hybrid: float, current: t
     return (0.6, 0.4) if hybrid >= max(keyword, vector) else current
 
 
+def compared(quality: DataFrame) -> DataFrame:
+    """query_id, each mode's share at 10, the best mode, and by how many per cent hybrid is better than keyword. quality has query_id, mode, p_at_10."""
+    shares = quality.groupBy("query_id").pivot("mode", ["keyword", "vector", "hybrid"]).agg(F.first("p_at_10"))
+    old, new = F.coalesce("keyword", F.lit(0.0)), F.coalesce("hybrid", F.lit(0.0))
+    gain = F.when(old == 0, F.when(new > 0, 100.0).otherwise(0.0)).otherwise((new - old) / old * 100)
+    return shares.join(best_mode(quality).withColumnRenamed("mode", "best"), "query_id").withColumn("improvement", gain)
+
+
+def weights(quality: DataFrame, current: tuple[float, float] = (0.6, 0.4), margin: float = 0.1) -> DataFrame:
+    """One row: the mean share at 10 of each mode, how often each is best, and the weights of both legs that follow."""
+    c = compared(quality)
+    r = c.agg(*[F.coalesce(F.avg(m), F.lit(0.0)).alias(m) for m in ("keyword", "vector", "hybrid")], *[F.count(F.when(F.col("best") == m, 1)).alias(f"{m}_wins") for m in ("keyword", "vector", "hybrid")])
+    k, v, h = F.col("keyword"), F.col("vector"), F.col("hybrid")
+    first = F.when(k > v + margin, 0.7).when(v > k + margin, 0.4).when(h >= F.greatest(k, v), 0.6).otherwise(current[0])
+    return r.withColumn("keyword_weight", first).withColumn("vector_weight", F.round(1 - first, 6))
+
+
+def vector_stats(vectors: DataFrame, column: str = "embedding") -> DataFrame:
+    """One row: vectors, those that are null or empty, numbers in all, and the sizes there are."""
+    n = F.greatest(F.size(column), F.lit(0))
+    return vectors.agg(F.count("*").alias("vectors"), F.count(F.when(n == 0, 1)).alias("empty"), F.sum(n).cast("bigint").alias("numbers"), F.min(n).alias("least"), F.max(n).alias("most"))
+
+
 def usage(calls: DataFrame) -> DataFrame:
     """Calls, tokens and cost of each provider and model; repeated rows count once, missing numbers as 0."""
     one = calls.dropDuplicates(["usage_id"])

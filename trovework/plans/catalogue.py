@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from trovework.functions import scores, text
 from trovework.operators import changes, chunks, entities, graph, metrics, rag, search
 from trovework.plans import sql
-from trovework.session import table, written
+from trovework.session import new_folder, table
 from trovework.sources import repositories
 
 #: The day that parts the chunks into an old and a new snapshot.
 DAY = "2025-06-14"
-#: Queries of users, as a parameter would bring them.
-QUERIES = (("q1", "token registry"), ("q2", "nightly job snapshot"), ("q3", "getLease"), ("q4", "search service ordered lattice"), ("q5", "unknown_shard"))
+#: Indexes that this process has built, by session, table and the table's time.
+_BUILT: dict[tuple, search.Index] = {}
 
 
 def _chunks(s: SparkSession, d: str) -> DataFrame:
@@ -27,13 +27,49 @@ def _raw(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "code_chunks_vectors")
 
 
-def _queries(s: SparkSession) -> DataFrame:
-    return s.createDataFrame(QUERIES, "query_id string, text string")
+def _queries(s: SparkSession, d: str) -> DataFrame:
+    """Every document whose id is divisible by 20 is a query, its whole text the words."""
+    return table(s, d, "documents").where("doc_id % 20 = 0 and text is not null").select(F.col("doc_id").alias("query_id"), "text")
+
+
+def _with_summaries(s: SparkSession, d: str) -> DataFrame:
+    """The chunks with the summary that search results have of them, the first in order."""
+    place = ["source_file", "entity_name", "start_line", "end_line"]
+    said = table(s, d, "search_results").where("trim(doc_summary) != ''").groupBy(*place).agg(F.min("doc_summary").alias("doc_summary"))
+    return _chunks(s, d).join(said, place, "left")
+
+
+FIELDS = ("content", "entity_name", "doc_summary")
+
+
+def _changed(s: SparkSession, d: str, *names: str) -> tuple:
+    """The latest times of tables' files, so that an index of older ones isn't used."""
+    path = s._jvm.org.apache.hadoop.fs.Path
+    out = []
+    for n in names:
+        at = path(f"{d}/{n}.parquet")
+        fs = at.getFileSystem(s._jsc.hadoopConfiguration())
+        out.append((at.toString(), max([f.getModificationTime() for f in fs.listStatus(at)], default=0)))
+    return tuple(out)
+
+
+def _index(s: SparkSession, d: str) -> search.Index:
+    """The index of the chunks' contents, names and summaries, built once a session and kept in the shared folder."""
+    key = (s.sparkContext.applicationId, *_changed(s, d, "code_chunks_vectors", "search_results"))
+    if key not in _BUILT:
+        _BUILT[key] = search.build_index(_with_summaries(s, d), {c: F.col(c) for c in FIELDS}, new_folder(s, "index"))
+    return _BUILT[key]
+
+
+def _documents_index(s: SparkSession, d: str) -> search.Index:
+    key = (s.sparkContext.applicationId, *_changed(s, d, "documents"))
+    if key not in _BUILT:
+        _BUILT[key] = search.build_index(table(s, d, "documents").where("text is not null"), {"content": F.col("text")}, new_folder(s, "index"), "doc_id")
+    return _BUILT[key]
 
 
 def _postings(s: SparkSession, d: str) -> DataFrame:
-    """Postings of contents and names, written once: statistics and matches both read them."""
-    return written(search.postings(_chunks(s, d), {"content": F.col("content"), "entity_name": F.col("entity_name")}), "postings")
+    return _index(s, d).post
 
 
 def file_kinds(s: SparkSession, d: str) -> DataFrame:
@@ -83,8 +119,10 @@ def replaced_files(s: SparkSession, d: str) -> DataFrame:
 
 
 def upserted(s: SparkSession, d: str) -> DataFrame:
-    t = _raw(s, d).select("id", "source_file", "created_at", "updated_at")
-    return chunks.upsert(t.where(F.col("created_at") < DAY).distinct(), t.where(F.col("created_at") >= DAY)).groupBy("source_file").agg(F.countDistinct("id").alias("n"))
+    """The rows that win, with the time and content of the version."""
+    t = _raw(s, d).select("id", "content", "created_at", "updated_at")
+    old = chunks.latest(t.where(F.col("created_at") < DAY), "id", F.greatest("created_at", "updated_at"), F.col("created_at"))
+    return chunks.upsert(old, t.where(F.col("created_at") >= DAY)).select("id", F.unix_micros(F.greatest("created_at", "updated_at")).alias("at"), F.md5("content").alias("md5"))
 
 
 def upserted_vectors(s: SparkSession, d: str) -> DataFrame:
@@ -121,29 +159,37 @@ def term_statistics(s: SparkSession, d: str) -> DataFrame:
     return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
+def index_build(s: SparkSession, d: str) -> DataFrame:
+    """Builds the index anew: the postings, terms and occurrences of each field."""
+    built = search.build_index(_with_summaries(s, d), {c: F.col(c) for c in FIELDS}, new_folder(s, "index"))
+    return built.post.groupBy("field").agg(F.count("*").alias("postings"), F.countDistinct("term").alias("terms"), F.sum("tf").alias("occurrences"), F.max("df").alias("most_df"))
+
+
 def field_statistics(s: SparkSession, d: str) -> DataFrame:
-    return search.field_stats(_postings(s, d)).select("field", "n", F.round("avgdl", 6).alias("avgdl"))
+    return _index(s, d).stats.select("field", "n", F.round("avgdl", 6).alias("avgdl"))
 
 
 def keyword_search(s: SparkSession, d: str) -> DataFrame:
-    return search.keyword_search(_postings(s, d), _queries(s), 10).select("query_id", "doc", F.round("score", 6).alias("score"))
+    return search.keyword_search(_index(s, d), _queries(s, d), 10).select("query_id", "doc", "score")
 
 
 def keyword_search_filtered(s: SparkSession, d: str) -> DataFrame:
     docs = _chunks(s, d).where(search.metadata_filter(language=["java", "python"], entity_type=["method", "function"])).select(F.col("id").alias("doc"))
-    return search.keyword_search(_postings(s, d), _queries(s), 10, docs).select("query_id", "doc", F.round("score", 6).alias("score"))
+    return search.keyword_search(_index(s, d), _queries(s, d), 10, docs).select("query_id", "doc", "score")
 
 
 def field_search(s: SparkSession, d: str) -> DataFrame:
-    return search.keyword_search(_postings(s, d), _queries(s), 10, boosts={"entity_name": 1.0}).select("query_id", "doc", F.round("score", 6).alias("score"))
+    return search.keyword_search(_index(s, d), _queries(s, d), 10, boosts={"entity_name": 1.0}).select("query_id", "doc", "score")
 
 
 def keyword_normalised(s: SparkSession, d: str) -> DataFrame:
-    return scores.min_max(search.keyword_search(_postings(s, d), _queries(s), 10), ["query_id"]).select("query_id", "doc", F.round("score", 6).alias("score"))
+    return scores.min_max(search.keyword_search(_index(s, d), _queries(s, d), 10), ["query_id"]).select("query_id", "doc", F.round("score", 5).alias("score"))
 
 
 def field_match(s: SparkSession, d: str) -> DataFrame:
-    return search.field_match(_postings(s, d), _queries(s)).select("query_id", "doc", "matched_fields")
+    """The fields that each hit is found in."""
+    index, q = _index(s, d), _queries(s, d)
+    return search.field_match(index, q, search.keyword_search(index, q, 10)).select("query_id", "doc", "matched_fields")
 
 
 def boolean_search(s: SparkSession, d: str) -> DataFrame:
@@ -159,7 +205,11 @@ def fuzzy_search(s: SparkSession, d: str) -> DataFrame:
 
 
 def phrase_search(s: SparkSession, d: str) -> DataFrame:
-    return search.phrase(_chunks(s, d), F.col("content"), "our nightly job")
+    return search.phrase(_with_summaries(s, d), {c: F.col(c) for c in FIELDS}, "nightly job")
+
+
+def all_documents(s: SparkSession, d: str) -> DataFrame:
+    return search.match_all(_chunks(s, d))
 
 
 def path_filter(s: SparkSession, d: str) -> DataFrame:
@@ -190,24 +240,67 @@ def nearest_vectors(s: SparkSession, d: str) -> DataFrame:
 
 
 def nearest_by_cells_recall(s: SparkSession, d: str) -> DataFrame:
+    """The number of exact neighbours, and whether the cells find nine tenths of them."""
     v = table(s, d, "embeddings")
-    return search.recall(search.nearest(v, _vector_queries(v), 10, threshold=-1.0), search.nearest_by_cells(v, _vector_queries(v), 10))
+    found = search.nearest_by_cells(v, _vector_queries(v), search.fit_cells(v), 10)
+    return search.recall(search.nearest(v, _vector_queries(v), 10, threshold=-1.0), found).select("pairs", (F.col("recall") >= 0.9).alias("enough"))
+
+
+def _hybrid(s: SparkSession, d: str, mode: str) -> DataFrame:
+    """Documents by words and by vector: each document and vector whose id is divisible by 20 is a query."""
+    v = table(s, d, "embeddings").join(table(s, d, "documents").where("text is not null").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    keyword = search.keyword_search(_documents_index(s, d), _queries(s, d), 10)
+    return search.hybrid(keyword, search.nearest(v, _vector_queries(v), 10), mode).select("query_id", "doc", F.round("score", 4).alias("score"), "both")
 
 
 def hybrid_search(s: SparkSession, d: str) -> DataFrame:
-    """Documents by words and by vector: each vector whose id is divisible by 20 is a query, its words are its text's first line."""
-    docs = table(s, d, "documents").where("text is not null").select(F.col("doc_id").alias("id"), "text")
-    v = table(s, d, "embeddings").join(docs.select(F.col("id").alias("vec_id")), "vec_id", "left_semi")
-    q = _vector_queries(docs.withColumnRenamed("id", "vec_id")).select(F.col("vec_id").alias("query_id"), F.substring_index("text", "\n", 1).alias("text"))
-    post = written(search.postings(docs, {"content": F.col("text")}), "postings")
-    keyword = search.keyword_search(post, q, 10)
-    vector = search.nearest(v, _vector_queries(v), 10)
-    return search.hybrid(keyword, vector).select("query_id", "doc", F.round("score", 4).alias("score"), "both")
+    return _hybrid(s, d, "hybrid")
+
+
+def hybrid_keyword_mode(s: SparkSession, d: str) -> DataFrame:
+    return _hybrid(s, d, "keyword")
+
+
+def hybrid_vector_mode(s: SparkSession, d: str) -> DataFrame:
+    return _hybrid(s, d, "vector")
+
+
+def _quality(s: SparkSession, d: str) -> DataFrame:
+    """The share at 10 of each query and mode, where the documents whose vectors have the query's label are relevant."""
+    v = table(s, d, "embeddings").select("vec_id", "label")
+    relevant = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label").join(v, "label").select("query_id", F.col("vec_id").alias("doc"))
+    out = None
+    for mode in ("keyword", "vector", "hybrid"):
+        q = metrics.ranked_quality(search.top(_hybrid(s, d, mode), 10), relevant, (10,)).select("query_id", F.lit(mode).alias("mode"), F.round("p_at_10", 6).alias("p_at_10"))
+        out = q if out is None else out.unionByName(q)
+    return out
+
+
+def mode_comparison(s: SparkSession, d: str) -> DataFrame:
+    c = metrics.compared(_quality(s, d))
+    return c.select("query_id", "keyword", "vector", "hybrid", "best", F.round("improvement", 3).alias("improvement"))
+
+
+def weight_recommendation(s: SparkSession, d: str) -> DataFrame:
+    w = metrics.weights(_quality(s, d))
+    return w.select(*[F.round(c, 5).alias(c) for c in ("keyword", "vector", "hybrid")], "keyword_wins", "vector_wins", "hybrid_wins", "keyword_weight", "vector_weight")
+
+
+def vector_statistics(s: SparkSession, d: str) -> DataFrame:
+    return metrics.vector_stats(table(s, d, "embeddings"))
+
+
+def transitive_search(s: SparkSession, d: str) -> DataFrame:
+    """Searches for the names that nothing is above in the relationship paths: hits by words, and the chunks of all that derives from them with its path."""
+    e = graph.edges_of_paths(table(s, d, "search_results"))
+    roots = e.select(F.col("src").alias("query_id")).distinct().join(e.select(F.col("dst").alias("query_id")), "query_id", "left_anti")
+    r = search.orchestrate(_index(s, d), _chunks(s, d), roots.withColumn("text", F.col("query_id")), e, roots.select("query_id", F.col("query_id").alias("name")), k=10, depth=5)
+    return r.select("query_id", "doc", F.round("score", 5).alias("score"), "is_transitive", "path")
 
 
 def search_page(s: SparkSession, d: str) -> DataFrame:
-    r = table(s, d, "search_results").dropDuplicates(["result_id"]).select("query_id", F.col("result_id").alias("doc"), F.col("score").cast("double").alias("score"))
-    return search.page(search.top(r, 100), 10, 5).select("query_id", "doc", "total", "page")
+    r = table(s, d, "search_results").groupBy(F.col("result_id").alias("doc")).agg(F.max(F.struct("query_id", F.col("score").cast("double").alias("score"))).alias("r")).select("r.query_id", "doc", "r.score")
+    return search.page(r, 10, 5).select("query_id", "doc", "total", "page")
 
 
 def result_quality(s: SparkSession, d: str) -> DataFrame:
@@ -283,7 +376,7 @@ def query_kinds(s: SparkSession, d: str) -> DataFrame:
 
 
 def progress_stages(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents").groupBy(text.stage_of(F.substring_index("text", "\n", 1)).alias("stage")).agg(F.count("*").alias("n"))
+    return table(s, d, "documents").groupBy(text.stage_of(F.col("text")).alias("stage")).agg(F.count("*").alias("n"))
 
 
 def event_counts(s: SparkSession, d: str) -> DataFrame:

@@ -49,18 +49,30 @@ def metadata(payloads: DataFrame, column: str = "json") -> DataFrame:
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """path and content of the source files under root, a folder that all executors share; names with a leading dot are left out.
 
-    Only the paths are listed by the driver, the files are read in the tasks; names with a leading underscore are kept, which
-    Spark's own file readers leave out.
+    The driver lists the first two levels only, the tasks walk what lies below and then read the files; names with a leading underscore
+    are kept, which Spark's own file readers leave out.
     """
-    paths = [os.path.relpath(os.path.join(d, f), root) for d, dirs, files in os.walk(root) if not dirs.sort() for f in sorted(files) if not any(x.startswith(".") for x in os.path.relpath(os.path.join(d, f), root).split(os.sep))]
-    rows = spark.createDataFrame([(p,) for p in paths], "path string").where(is_source_file(F.col("path"))).repartition(max(1, min(len(paths), spark.sparkContext.defaultParallelism * 4)))
+    seen = lambda at: [e for e in sorted(os.scandir(at), key=lambda e: e.name) if not e.name.startswith(".")]
+    first = seen(root)
+    below = [e for d in first if d.is_dir() for e in seen(d.path)]
+    folders = [os.path.relpath(e.path, root) for e in below if e.is_dir()]
+    files = [os.path.relpath(e.path, root) for e in [*first, *below] if e.is_file()]
+    wide = spark.sparkContext.defaultParallelism * 4
+    spread = lambda names: spark.createDataFrame([(n,) for n in names], "path string").repartition(max(1, min(len(names), wide)))
+
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in frames:
+            for folder in p["path"]:
+                for d, dirs, names in os.walk(os.path.join(root, folder)):
+                    dirs[:] = sorted(x for x in dirs if not x.startswith("."))
+                    yield pd.DataFrame({"path": pd.Series([os.path.relpath(os.path.join(d, n), root) for n in sorted(names) if not n.startswith(".")], dtype=object)})
+
+    rows = spread(folders).mapInPandas(walk, "path string").unionByName(spread(files)).where(is_source_file(F.col("path"))).repartition(wide)
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in frames:
-            out = []
             for x in p["path"]:
                 with open(os.path.join(root, x), "rb") as f:
-                    out.append(f.read().decode("utf-8", "replace"))
-            yield pd.DataFrame({"path": p["path"], "content": out})
+                    yield pd.DataFrame({"path": [x], "content": [f.read().decode("utf-8", "replace")]})
 
     return rows.mapInPandas(read, "path string, content string")

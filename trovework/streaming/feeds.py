@@ -11,7 +11,7 @@ from trovework.operators.changes import last_state
 
 
 def state_of_files(spark: SparkSession, feed: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Keeps path, alive and changed_at of all files under target, a folder with a version for each batch, and ends when the feed is read.
+    """Keeps path, alive, changed_at and change_id of all files under target, a folder with a version for each batch, and ends when the feed is read.
 
     Each batch is reduced to the last change of a path, then merged with the version before. A batch that is run again after a
     failure writes the same version again. The feed is a stream with the columns of file_changes.
@@ -22,8 +22,9 @@ def state_of_files(spark: SparkSession, feed: DataFrame, target: str, checkpoint
         now = last_state(batch)
         if number > 0:
             before = s.read.parquet(f"{target}/version={number - 1}")
-            newer = F.max_by(F.struct("alive", "changed_at"), F.struct("changed_at", "alive")).alias("r")
-            now = before.select("path", "alive", "changed_at").unionByName(now).groupBy("path").agg(newer).select("path", "r.*")
+            # the same order as within a batch, so that the batches' borders don't matter
+            newer = F.max(F.struct("changed_at", "change_id", "alive")).alias("r")
+            now = before.select("path", "alive", "changed_at", "change_id").unionByName(now).groupBy("path").agg(newer).select("path", "r.*")
         now.write.mode("overwrite").parquet(f"{target}/version={number}")
 
     return feed.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -2,8 +2,9 @@
 
 The states are code and eight languages. What a state emits depends on the two characters before, with shorter
 contexts where those were not seen. Staying is free and every change of state costs the same, so one step of the
-Viterbi algorithm takes one maximum over the states; it runs over many pieces of text at once. Whole contents are
-segmented; the spans are then restricted to the comments and literals that the lexer finds.
+Viterbi algorithm takes one maximum over the states; it runs over many contents at once, each decoded for itself and
+whole; only those above LENGTH are cut, with context on both sides. The spans are then restricted to the comments and
+literals that the lexer finds.
 
 The model is trained here: the languages on a bounded sample of documents by their lang column, of which those that
 a first model assigns elsewhere are left out (the column has errors), the code state on a bounded sample of code.
@@ -31,8 +32,9 @@ SAMPLE, TEXT = 150_000, 20_000
 #: The cost of a change of state, in nats.
 CHANGE = 6.0
 BITS = 20
-#: A piece's length, and the characters before it that are decoded for its context and then left out.
-LENGTH, CONTEXT, WIDTH = 512, 48, 4096
+#: A text up to LENGTH is decoded whole; a longer one in pieces of that length, each with so many characters before and after it that are
+#: decoded for their context and then left out. Cells (characters times pieces) that are decoded at once.
+LENGTH, CONTEXT, CELLS = 1024, 96, 2_000_000
 #: What a character of a comment or literal is less likely to be code, in nats.
 INSIDE = 0.4
 #: The least words (characters in Japanese and Chinese) of a clause.
@@ -93,63 +95,96 @@ def _rows(row: np.ndarray, text: str) -> np.ndarray:
     return r
 
 
-def states(model: tuple[np.ndarray, np.ndarray], text: str, inside: np.ndarray | None = None) -> np.ndarray:
-    """The state of each character of text; inside is 1 where a comment or literal is."""
+def states(model: tuple[np.ndarray, np.ndarray], texts: list[str], inside: np.ndarray | None = None) -> np.ndarray:
+    """The state of each character of the texts, one after the other; inside is 1 where a comment or literal is.
+
+    No piece reaches over the border of a text, so a text's states don't depend on those it is decoded with.
+    """
     row, table = model
-    r = _rows(row, text)
-    n = len(r)
-    out = np.empty(n, dtype=np.int8)
-    padded = np.concatenate((np.zeros(CONTEXT, np.int32), r, np.zeros(LENGTH, np.int32)))
-    starts = np.arange(0, n, LENGTH)
-    less = None if inside is None else np.concatenate((np.zeros(CONTEXT, np.int8), inside, np.zeros(LENGTH, np.int8)))
-    for k in range(0, len(starts), WIDTH):
-        at = starts[k : k + WIDTH]
-        grid = padded[at[None, :] + np.arange(LENGTH + CONTEXT)[:, None]]
-        minus = None if less is None else less[at[None, :] + np.arange(LENGTH + CONTEXT)[:, None]] * np.float32(INSIDE)
-        score = table[:, grid[0]]
-        moved = np.empty((LENGTH + CONTEXT, *score.shape), dtype=bool)
-        best = np.empty(grid.shape, dtype=np.int8)
-        for t in range(1, LENGTH + CONTEXT):
-            top = score.max(axis=0)
-            best[t] = score.argmax(axis=0)
-            top -= CHANGE
-            moved[t] = score < top
-            np.maximum(score, top, out=score)
-            score += table[:, grid[t]]
-            if minus is not None:
-                score[CODE] -= minus[t]
-        state = score.argmax(axis=0).astype(np.int8)
-        path = np.empty((LENGTH, len(at)), dtype=np.int8)
-        col = np.arange(len(at))
-        for t in range(LENGTH + CONTEXT - 1, CONTEXT - 1, -1):
-            path[t - CONTEXT] = state
-            state = np.where(moved[t][state, col], best[t], state)
-        flat = path.T.ravel()
-        out[at[0] : at[0] + len(flat)] = flat[: n - at[0]]
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    n = int(sizes.sum())
+    out = np.full(n, CODE, dtype=np.int8)
+    if not n:
+        return out
+    r = np.concatenate([_rows(row, t) for t in texts if t])
+    ends = np.cumsum(sizes)
+    count = -(-sizes // LENGTH)
+    text = np.repeat(np.arange(len(texts)), count)
+    start = (ends - sizes)[text] + LENGTH * (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count))
+    stop = np.minimum(start + LENGTH, ends[text])
+    # with its context a piece lies within its text
+    low, high = np.maximum(start - CONTEXT, (ends - sizes)[text]), np.minimum(stop + CONTEXT, ends[text])
+    by_size = np.argsort(low - high, kind="stable")  # pieces of about one length are decoded together
+    k = 0
+    while k < len(by_size):
+        longest = int(high[by_size[k]] - low[by_size[k]])
+        group = by_size[k : k + max(1, CELLS // longest)]
+        k += len(group)
+        _decode(table, r, inside, out, low[group], high[group], start[group], stop[group])
     return out
 
 
+def _decode(table: np.ndarray, r: np.ndarray, inside: np.ndarray | None, out: np.ndarray, low: np.ndarray, high: np.ndarray, start: np.ndarray, stop: np.ndarray) -> None:
+    """Viterbi over pieces side by side; what follows the end of a shorter one has no emissions, so its best path stays as it is."""
+    size = int((high - low).max())
+    at = low[None, :] + np.arange(size)[:, None]
+    real = at < high[None, :]
+    at = np.minimum(at, len(r) - 1)
+    grid = np.where(real, r[at], 0)
+    minus = None if inside is None else (inside[at] * real).astype(np.float32) * np.float32(INSIDE)
+    score = table[:, grid[0]]
+    moved = np.empty((size, *score.shape), dtype=bool)
+    best = np.empty(grid.shape, dtype=np.int8)
+    for t in range(1, size):
+        top = score.max(axis=0)
+        best[t] = score.argmax(axis=0)
+        top -= CHANGE
+        moved[t] = score < top
+        np.maximum(score, top, out=score)
+        score += table[:, grid[t]]
+        if minus is not None:
+            score[CODE] -= minus[t]
+    state = score.argmax(axis=0).astype(np.int8)
+    path = np.empty(grid.shape, dtype=np.int8)
+    col = np.arange(len(low))
+    for t in range(size - 1, -1, -1):
+        path[t] = state
+        if t:
+            state = np.where(moved[t][state, col], best[t], state)
+    keep = (at >= start[None, :]) & (at < stop[None, :]) & real
+    out[at[keep]] = path[keep]
+
+
 _FENCE = re.compile(r"(?s)```.*?(?:```|\Z)")
 _PROSE = re.compile(r"[^\W\d_]+(?:[ ,]+[^\W\d_]+){4,}[.,;!?]|[぀-ヿ㐀-鿿]{6,}|[а-яё]{3,}")
 
 
 def fit(spark: SparkSession, docs: DataFrame, chunks: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The model from a sample of at most SAMPLE characters a state, chosen by a hash of the ids."""
+    """The model from a sample of at most SAMPLE characters a state, chosen by a hash of the ids.
+
+    The documents of each language are counted first; the sample of all languages is then drawn in one pass, about twice as many texts as
+    SAMPLE needs of each, which are cut to size here.
+    """
     lang = F.lower(F.trim("lang"))
     d = docs.select("doc_id", lang.alias("lang"), "text").where(F.col("lang").isin(*LANGUAGES) & F.col("text").isNotNull() & (F.length("text") <= TEXT))
-    # about as many of each language: a limit a language, then the sample is cut by size below
+    found = {r["lang"]: (r["n"], r["size"]) for r in d.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("size")).collect()}
+    hashed = lambda key: F.pmod(F.xxhash64(F.lit(17), key), F.lit(1_000_003))
+    part = lambda size: int(min(1.0, (2 * SAMPLE + 3 * TEXT) / max(1, size)) * 1_000_003)
+    limit = F.create_map(*[F.lit(x) for g in LANGUAGES for x in (g, part(found.get(g, (0, 0))[1]))])
+    drawn: dict[str, list[tuple[int, str]]] = {g: [] for g in LANGUAGES}
+    for h, g, t in d.where(hashed("doc_id") < limit[F.col("lang")]).select(F.xxhash64(F.lit(17), "doc_id"), "lang", "text").collect():
+        drawn[g].append((h, t))
     texts: dict[int, list[str]] = {s: [] for s in range(CODE + 1)}
-    limit = SAMPLE // 300
     for s, g in enumerate(LANGUAGES):
         size = 0
-        for (t,) in sample_by_hash(d.where(F.col("lang") == g), "doc_id", limit).select("text").collect():
+        for _, t in sorted(drawn[g]):
             t = _FENCE.sub(" ", t)
             if size < SAMPLE:
                 texts[s].append(t)
                 size += len(t)
     size = 0
     c = chunks.select("id", "content", "source_file", "language").where(F.col("content").isNotNull() & (F.length("content") <= TEXT))
-    for t, path, g in sample_by_hash(c, "id", limit).select("content", "source_file", "language").collect():
+    for t, path, g in sample_by_hash(c, "id", SAMPLE // 300).select("content", "source_file", "language").collect():
         scan = scanner(language_of(path, g))
         if scan and size < SAMPLE:
             # code is what lies outside comments, and literals without a sentence
@@ -158,11 +193,11 @@ def fit(spark: SparkSession, docs: DataFrame, chunks: DataFrame) -> tuple[np.nda
             size += len(code)
     model = train(texts)
     for s in range(CODE):
-        path, at, kept = states(model, "\n".join(texts[s]) or " "), 0, []
+        path, at, kept = states(model, texts[s]), 0, []
         for t in texts[s]:
             if len(t) < 40 or np.bincount(path[at : at + len(t)], minlength=CODE + 1)[:CODE].argmax() == s:
                 kept.append(t)
-            at += len(t) + 1
+            at += len(t)
         texts[s] = kept
     return train(texts)
 
@@ -241,15 +276,14 @@ def find_prose(chunks: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataF
                 if t:
                     t = unescape(t)
                     todo.append((i, t, path, language_of(path, g)))
-                    size += len(t) + 1
+                    size += len(t)
                 if todo and (size > 1_500_000 or k == len(p) - 1):
-                    whole = "\n".join([x[1] for x in todo])
-                    spans, inside, at = [texts_of(t, lang) for _, t, _, lang in todo], np.zeros(len(whole), dtype=np.int8), 0
+                    spans, inside, at = [texts_of(t, lang) for _, t, _, lang in todo], np.zeros(size, dtype=np.int8), 0
                     for x, found in zip(todo, spans):
                         for s, e in found:
                             inside[at + s : at + e] = 1
-                        at += len(x[1]) + 1
-                    state, at = states(m, whole, inside), 0
+                        at += len(x[1])
+                    state, at = states(m, [x[1] for x in todo], inside), 0
                     for (i, t, path, _), found in zip(todo, spans):
                         for s, e in found:
                             if e - s < 10:
@@ -257,7 +291,7 @@ def find_prose(chunks: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataF
                             g = clause(t[s:e], state[at + s : at + e])
                             if g is not None:
                                 rows.append((i, t.count("\n", 0, s) + 1, LANGUAGES[g], s, e - s, path))
-                        at += len(t) + 1
+                        at += len(t)
                     todo, size = [], 0
             yield pd.DataFrame(rows, columns=["id", "line_no", "prose_lang", "start", "n_chars", "source_file"])
 
@@ -267,6 +301,7 @@ def find_prose(chunks: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataF
 
 def shares(chunks: DataFrame, found: DataFrame) -> DataFrame:
     """source_file, prose_lang and the share of the file's characters in texts of that language."""
-    files = chunks.where(F.col("content").isNotNull()).dropDuplicates(["id"]).groupBy("source_file").agg(F.sum(F.length("content")).alias("all_chars"))
+    # only sizes are shuffled
+    files = chunks.where(F.col("content").isNotNull()).select("id", "source_file", F.length("content").alias("n")).dropDuplicates(["id"]).groupBy("source_file").agg(F.sum("n").alias("all_chars"))
     chars = found.groupBy("source_file", "prose_lang").agg(F.sum("n_chars").alias("chars"))
     return files.join(chars, "source_file").select("source_file", "prose_lang", (F.col("chars") / F.col("all_chars")).alias("share"))

@@ -34,7 +34,7 @@ CHANGE = 6.0
 BITS = 20
 #: A text up to LENGTH is decoded whole; a longer one in pieces of that length, each with so many characters before and after it that are
 #: decoded for their context and then left out. Cells (characters times pieces) that are decoded at once.
-LENGTH, CONTEXT, CELLS = 1024, 96, 2_000_000
+LENGTH, CONTEXT, CELLS = 2048, 96, 1_000_000
 #: What a character of a comment or literal is less likely to be code, in nats.
 INSIDE = 0.4
 #: The least words (characters in Japanese and Chinese) of a clause.
@@ -126,33 +126,36 @@ def states(model: tuple[np.ndarray, np.ndarray], texts: list[str], inside: np.nd
 
 def _decode(table: np.ndarray, r: np.ndarray, inside: np.ndarray | None, out: np.ndarray, low: np.ndarray, high: np.ndarray, start: np.ndarray, stop: np.ndarray) -> None:
     """Viterbi over pieces side by side; what follows the end of a shorter one has no emissions, so its best path stays as it is."""
-    size = int((high - low).max())
-    at = low[None, :] + np.arange(size)[:, None]
-    real = at < high[None, :]
-    at = np.minimum(at, len(r) - 1)
-    grid = np.where(real, r[at], 0)
-    minus = None if inside is None else (inside[at] * real).astype(np.float32) * np.float32(INSIDE)
-    score = table[:, grid[0]]
-    moved = np.empty((size, *score.shape), dtype=bool)
-    best = np.empty(grid.shape, dtype=np.int8)
+    size, wide = int((high - low).max()), len(low)
+    at = low.astype(np.int32)[None, :] + np.arange(size, dtype=np.int32)[:, None]
+    grid = r.take(at, mode="clip")
+    minus = None if inside is None else inside.take(at, mode="clip") * np.float32(INSIDE)
+    for c in np.flatnonzero(high - low < size):
+        grid[high[c] - low[c] :, c] = 0
+        if minus is not None:
+            minus[high[c] - low[c] :, c] = 0
+    score = np.empty((size, table.shape[0], wide), dtype=np.float32)
+    moved_to = np.empty((size, wide), dtype=np.float32)  # what a state has that is moved to from the best one
+    gain = np.empty((table.shape[0], wide), dtype=np.float32)
+    score[0] = table[:, grid[0]]
     for t in range(1, size):
-        top = score.max(axis=0)
-        best[t] = score.argmax(axis=0)
-        top -= CHANGE
-        moved[t] = score < top
-        np.maximum(score, top, out=score)
-        score += table[:, grid[t]]
+        np.subtract(score[t - 1].max(axis=0), np.float32(CHANGE), out=moved_to[t])
+        np.maximum(score[t - 1], moved_to[t], out=score[t])
+        np.take(table, grid[t], axis=1, out=gain, mode="clip")
+        score[t] += gain
         if minus is not None:
-            score[CODE] -= minus[t]
-    state = score.argmax(axis=0).astype(np.int8)
-    path = np.empty(grid.shape, dtype=np.int8)
-    col = np.arange(len(low))
-    for t in range(size - 1, -1, -1):
+            score[t, CODE] -= minus[t]
+    state = score[-1].argmax(axis=0)
+    path = np.empty((size, wide), dtype=np.int8)
+    col = np.arange(wide)
+    for t in range(size - 1, 0, -1):
         path[t] = state
-        if t:
-            state = np.where(moved[t][state, col], best[t], state)
-    keep = (at >= start[None, :]) & (at < stop[None, :]) & real
-    out[at[keep]] = path[keep]
+        go = np.flatnonzero(score[t - 1][state, col] < moved_to[t])
+        if len(go):
+            state[go] = score[t - 1][:, go].argmax(axis=0)
+    path[0] = state
+    for c in range(wide):
+        out[start[c] : stop[c]] = path[start[c] - low[c] : stop[c] - low[c], c]
 
 
 _FENCE = re.compile(r"(?s)```.*?(?:```|\Z)")
@@ -206,7 +209,7 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 _STOP = re.compile(r"[.!?][\"')]?\s")
 _SIGN = re.compile(r"[぀-ヿ㐀-鿿]")
 #: Queries aren't prose, though their keywords are words.
-_QUERY = re.compile(r"(?is)\W*(?:select\b.*\bfrom\b|insert\s+into\b|update\s+\S+\s+set\b|delete\s+from\b|(?:create|alter|drop)\s+(?:table|index|view)\b|merge\s+into\b|with\s+\w+\s+as\s*\()")
+_QUERY = re.compile(r"(?is)\W*(?:select\b.{0,400}?\bfrom\b|insert\s+into\b|update\s+\S+\s+set\b|delete\s+from\b|(?:create|alter|drop)\s+(?:table|index|view)\b|merge\s+into\b|with\s+\w+\s+as\s*\()")
 
 
 def texts_of(content: str, language: str) -> list[tuple[int, int]]:
@@ -234,10 +237,8 @@ def texts_of(content: str, language: str) -> list[tuple[int, int]]:
 def clause(text: str, state: np.ndarray) -> int | None:
     """The language of a comment or literal, if it holds a clause in it."""
     n = np.bincount(state, minlength=CODE + 1)[:CODE]
-    if _QUERY.match(text[:400]):
-        return None
     s = int(n.argmax())
-    if n[s] < 8:
+    if n[s] < 8 or _QUERY.match(text):
         return None
     # the runs of any language: short foreign stretches inside a sentence are one text
     mask = state != CODE

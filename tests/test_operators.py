@@ -333,6 +333,15 @@ def test_declarations(spark, path, source, want):
     assert [(r["kind"], r["name"]) for r in got] == want
 
 
+def test_extents(spark):
+    java = 'class A {\n  // }\n  int f(int a) {\n    String s = "}";\n    if (a) {\n    }\n    return 1;\n  }\n\n  class B {\n    int g(int x) { return 1; }\n    void h() {\n    }\n  }\n}\n'
+    py = "class A:\n    def f(self):\n        if x:\n            y = 1\n\n        return 2\n\n    def g(self):\n        pass\n\n\ndef h():\n    return 1\n"
+    df = spark.createDataFrame([chunk("j", java, path="A.java"), chunk("p", py, path="a.py"), chunk("n", None), chunk("e", "")], CHUNK)
+    assert values(entities.extents(df), "id", "line_no", "end_line", "qualified") == [
+        ("j", 1, 15, "A"), ("j", 3, 8, "A.f"), ("j", 10, 14, "A.B"), ("j", 12, 13, "A.B.h"), ("p", 1, 9, "A"), ("p", 2, 6, "A.f"), ("p", 8, 9, "A.g"), ("p", 12, 13, "h")]
+    assert entities.extents(df.limit(0)).count() == 0
+
+
 def test_inheritance(spark):
     df = spark.createDataFrame([chunk("i", "class A extends B implements C, D {\n", "A.java")], CHUNK)
     assert values(entities.inheritance(entities.declarations(df)), "src", "dst", "relation", "label") == [("B", "A", "EXTENDS", "class"), ("C", "A", "IMPLEMENTS", "class"), ("D", "A", "IMPLEMENTS", "class")]

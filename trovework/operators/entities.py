@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trovework.operators.chunks import parser_of
@@ -48,6 +48,47 @@ def declarations(chunks: DataFrame) -> DataFrame:
     return out.where((F.col("name") != "") & ~F.col("name").isin(*NOT_NAMES))
 
 
+#: Literals and comments within a line, without escapes, whose braces don't count.
+QUIET = r"\"[^\"]*\"|'[^']*'|//.*"
+#: Kinds of declarations that others stand in.
+TYPES = ("class", "interface", "enum", "record", "struct", "union", "trait", "impl", "object", "protocol", "extension", "module")
+
+
+def extents(chunks: DataFrame) -> DataFrame:
+    """id, line_no, kind, name, end_line and qualified (the names of the enclosing types and its own, with dots between) of each declaration.
+
+    A declaration's level is the depth of braces before its line, in languages without braces its indentation. Lines that bring the level
+    down are events of the levels they close; the first event of its level from its line on ends a declaration, else the end of the
+    chunk. All windows partition by chunk. A declaration is in each type whose lines include it.
+    """
+    lines = chunks.select("id", parser_of(F.col("source_file")).alias("lang"), F.posexplode(F.split("content", "\n")).alias("n", "line")).where(F.trim(F.regexp_replace("line", r"\s", "")) != "")
+    plain = F.regexp_replace(F.regexp_replace("line", r"\\.", ""), QUIET, "")
+    braces = lambda b: F.length(plain) - F.length(F.replace(plain, F.lit(b), F.lit("")))
+    by_line = Window.partitionBy("id").orderBy("n")
+    indent = F.length(F.regexp_extract("line", r"^[ \t]*", 0))
+    by_indent = F.col("lang").isin("python", "ruby")
+    t = lines.withColumn("step", F.when(by_indent, 0).otherwise(braces("{") - braces("}")))
+    after = F.sum("step").over(by_line)
+    t = t.withColumn("after", F.when(by_indent, F.coalesce(F.lead(indent).over(by_line), F.lit(0))).otherwise(after))
+    t = t.withColumn("level", F.when(by_indent, indent).otherwise(F.col("after") - F.col("step")))
+    # a line closes the levels from the one after it up to its own; a line that opens and closes a block closes its own level
+    one_line = ~by_indent & (F.col("step") == 0) & (braces("{") > 0)
+    top = F.when(one_line, F.col("level")).otherwise(F.col("level") - 1)
+    ends = t.where(one_line | (F.col("after") < F.col("level"))).select("id", "n", F.explode(F.sequence(F.greatest(F.col("after"), F.lit(0)), F.greatest(F.col("after"), top, F.lit(0)))).alias("level"), F.lit(True).alias("closes"))
+    last = t.groupBy("id").agg((F.max("n") + 1).alias("last"))
+    found = declarations(chunks).select("id", (F.col("line_no") - 1).alias("n"), "kind", "name")
+    own = found.join(t.select("id", "n", "level"), ["id", "n"])
+    both = own.unionByName(ends, allowMissingColumns=True)
+    # of one line the declaration comes before the event
+    w = Window.partitionBy("id", "level").orderBy("n", F.col("closes").isNotNull()).rowsBetween(0, Window.unboundedFollowing)
+    ended = both.withColumn("end", F.min(F.when(F.col("closes"), F.col("n") + 1)).over(w)).where("closes is null").join(last, "id")
+    d = ended.select("id", (F.col("n") + 1).alias("line_no"), "kind", "name", F.coalesce("end", "last").cast("int").alias("end_line"))
+    outer = d.where(F.col("kind").isin(*TYPES)).select(F.col("id").alias("o_id"), F.col("line_no").alias("o_line"), F.col("end_line").alias("o_end"), F.col("name").alias("o_name"))
+    inside = (F.col("id") == F.col("o_id")) & (F.col("o_line") < F.col("line_no")) & (F.col("line_no") <= F.col("o_end"))
+    above = d.join(outer, inside, "left").groupBy("id", "line_no", "kind", "name", "end_line").agg(F.array_sort(F.collect_list(F.when(F.col("o_line").isNotNull(), F.struct("o_line", "o_name")))).alias("o"))
+    return above.select("id", "line_no", "kind", "name", "end_line", F.array_join(F.concat(F.transform("o", lambda x: x["o_name"]), F.array("name")), ".").alias("qualified"))
+
+
 def inheritance(found: DataFrame) -> DataFrame:
     """src (the parent), dst (the child), relation (EXTENDS or IMPLEMENTS) and label (the child's kind), each once, as graph.closure() takes it."""
     p = found.where("parents != ''").withColumn("p", F.regexp_replace("parents", r"^:\s*", "extends "))

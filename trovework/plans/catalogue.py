@@ -154,6 +154,10 @@ def declarations(s: SparkSession, d: str) -> DataFrame:
     return entities.declarations(_chunks(s, d)).select("id", "line_no", "kind", "name")
 
 
+def declaration_extents(s: SparkSession, d: str) -> DataFrame:
+    return entities.extents(_chunks(s, d))
+
+
 def term_statistics(s: SparkSession, d: str) -> DataFrame:
     p = search.postings(_chunks(s, d), {"content": F.col("content")})
     return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))

@@ -107,6 +107,8 @@ def queries() -> dict[str, str]:
   quality AS (SELECT query_id, mode, round(count(*) FILTER (WHERE (query_id, doc) IN (SELECT (query_id, doc) FROM rel)) / count(*), 6) AS p FROM ranked WHERE r <= 10 GROUP BY ALL),
   cmp AS (SELECT query_id, max(p) FILTER (WHERE mode = 'keyword') AS keyword, max(p) FILTER (WHERE mode = 'vector') AS vector, max(p) FILTER (WHERE mode = 'hybrid') AS hybrid, arg_max(mode, (p, mode = 'hybrid', mode)) AS best FROM quality GROUP BY 1)"""
     patterns = ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in PATTERNS)
+    declared = rf"""WITH {CLEAN}, p(lang, tp, fp) AS (VALUES {patterns}), l AS (SELECT id, {_map(PARSERS)}[regexp_extract(lower(source_file), '([^.]*)$', 1)] AS lang, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM c),
+  j AS (SELECT *, regexp_extract(line, tp, 2) AS t, regexp_extract(line, fp, 2) AS f FROM l JOIN p USING (lang)), decl AS (SELECT id, line_no::INT AS line_no, CASE WHEN t <> '' THEN lower(regexp_extract(line, tp, 1)) ELSE 'function' END AS kind, CASE WHEN t <> '' THEN t ELSE f END AS name FROM j WHERE NOT regexp_matches(line, '^\s*(//|/\*|\*|#)') AND (t <> '' OR f <> '') AND (CASE WHEN t <> '' THEN t ELSE f END) NOT IN ({_list(NOT_NAMES)}))"""
     return {
         "file_kinds": f"SELECT source_file, {ext} AS extension, b NOT LIKE '.%' AND {ext} IN ({_list(SOURCE_EXTENSIONS)}) AS is_source, b NOT LIKE '.%' AND {ext} NOT IN ({_list(BINARY_EXTENSIONS)}) AS is_text, {_map(PARSERS)}[{ext}] AS parser FROM (SELECT DISTINCT source_file, lower(regexp_extract(source_file, '([^/]*)$', 1)) AS b FROM code_chunks_vectors)",
         "repository_urls": rf"""SELECT repo_name, CASE WHEN h = 'github.com' THEN 'github' WHEN h = 'bitbucket.org' THEN 'bitbucket' WHEN contains(clone_url, '/scm/') THEN 'bitbucket_server' WHEN contains(h, 'gitlab') THEN 'gitlab' WHEN h <> '' THEN 'other' ELSE 'unknown' END AS client,
@@ -134,9 +136,16 @@ def queries() -> dict[str, str]:
         "file_states": f"WITH {STATE} SELECT path, alive FROM state",
         "applied_changes": f"WITH {CLEAN}, {STATE} SELECT language, count(*) AS n FROM c WHERE source_file NOT IN (SELECT path FROM state WHERE NOT alive) GROUP BY 1",
         "index_states": f"WITH {CHANGES} SELECT repository, commit_sha, changes FROM (SELECT DISTINCT ON (repository) repository, commit_sha FROM ch WHERE repository IS NOT NULL ORDER BY repository, changed_at DESC NULLS LAST, change_id DESC) JOIN (SELECT repository, count(*) AS changes FROM ch GROUP BY 1) USING (repository)",
-        "declarations": rf"""WITH {CLEAN}, p(lang, tp, fp) AS (VALUES {patterns}), l AS (SELECT id, {_map(PARSERS)}[regexp_extract(lower(source_file), '([^.]*)$', 1)] AS lang, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM c),
-  j AS (SELECT *, regexp_extract(line, tp, 2) AS t, regexp_extract(line, fp, 2) AS f FROM l JOIN p USING (lang))
-  SELECT id, line_no::INT AS line_no, CASE WHEN t <> '' THEN lower(regexp_extract(line, tp, 1)) ELSE 'function' END AS kind, CASE WHEN t <> '' THEN t ELSE f END AS name FROM j WHERE NOT regexp_matches(line, '^\s*(//|/\*|\*|#)') AND (t <> '' OR f <> '') AND (CASE WHEN t <> '' THEN t ELSE f END) NOT IN ({_list(NOT_NAMES)})""",
+        "declarations": f"{declared} SELECT id, line_no, kind, name FROM decl",
+        "declaration_extents": rf"""{declared}, ln AS (SELECT id, lang, line_no, line, regexp_replace(regexp_replace(line, '\\.', '', 'g'), '"[^"]*"|''[^'']*''|//.*', '', 'g') AS pl FROM l WHERE regexp_replace(line, '\s', '', 'g') <> ''),
+  st AS (SELECT *, coalesce(lang IN ('python', 'ruby'), false) AS ind, length(regexp_extract(line, '^[ \t]*')) AS indent, (length(pl) - length(replace(pl, '{{', ''))) AS opens, (length(pl) - length(replace(pl, '}}', ''))) AS shuts FROM ln),
+  su AS (SELECT *, sum(CASE WHEN ind THEN 0 ELSE opens - shuts END) OVER (PARTITION BY id ORDER BY line_no) AS deep, lead(indent) OVER (PARTITION BY id ORDER BY line_no) AS nxt FROM st),
+  lv AS (SELECT *, CASE WHEN ind THEN coalesce(nxt, 0) ELSE deep END AS after, CASE WHEN ind THEN indent ELSE deep - opens + shuts END AS level FROM su),
+  dl AS (SELECT decl.*, level FROM decl JOIN lv USING (id, line_no)), lst AS (SELECT id, max(line_no) AS last FROM ln GROUP BY 1),
+  en AS (SELECT dl.id, dl.line_no, dl.kind, dl.name, coalesce((SELECT min(lv.line_no) FROM lv WHERE lv.id = dl.id AND lv.line_no >= dl.line_no AND (lv.after < lv.level AND greatest(lv.after, 0) <= dl.level AND dl.level <= greatest(lv.after, lv.level - 1, 0)
+     OR NOT lv.ind AND lv.opens = lv.shuts AND lv.opens > 0 AND greatest(lv.after, 0) <= dl.level AND dl.level <= greatest(lv.after, lv.level, 0))), last)::INT AS end_line FROM dl JOIN lst USING (id)),
+  q AS (SELECT DISTINCT en.*, (SELECT string_agg(o.name, '.' ORDER BY o.line_no, o.name) FROM en o WHERE o.id = en.id AND o.line_no < en.line_no AND en.line_no <= o.end_line AND o.kind IN ('class', 'interface', 'enum', 'record', 'struct', 'union', 'trait', 'impl', 'object', 'protocol', 'extension', 'module')) AS above FROM en)
+  SELECT id, line_no, kind, name, end_line, concat_ws('.', above, name) AS qualified FROM q""",
         "term_statistics": f"WITH {CLEAN}, {_postings('c', {'content': 'content'})} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM post GROUP BY 1",
         "field_statistics": f"{posted} SELECT field, n, round(avgdl, 6) AS avgdl FROM st",
         "index_build": f"{posted} SELECT field, count(*) AS postings, count(DISTINCT term) AS terms, sum(tf)::BIGINT AS occurrences, max(df) AS most_df FROM (SELECT *, count(*) OVER (PARTITION BY field, term) AS df FROM post) GROUP BY 1",

@@ -221,6 +221,22 @@ def test_detected_changes(spark):
 FEED = "change_id long, change_type string, file_path string, old_path string, repository string, commit_sha string, changed_at timestamp, received_at timestamp"
 
 
+def test_similar_files_by_brute_force(spark):
+    r = random.Random(6)
+    text = lambda: [f"line {r.randint(0, 25)}" for _ in range(r.randint(1, 14))]
+    old = {f"o{i}": text() for i in range(40)} | {"oe": [], "os": ["}", "{"]}
+    new = {f"n{i}": ([x for x in old[f"o{i}"] if r.random() < 0.8] + text()[:3] if i < 15 else text()) for i in range(40)} | {"ne": [" "], "ns": ["{", "}"]}
+    frame = lambda d: spark.createDataFrame([(p, "\n".join(x), "clash") for p, x in d.items()] + [(None, "x", "y"), ("null", None, None)], "path string, content string, line string")
+    got = {(x["old_path"], x["file_path"]): round(x["similarity"], 9) for x in changes.similar(frame(old), frame(new)).collect()}
+    sets = lambda d: {p: {y.strip() for y in x if y.strip()} for p, x in d.items()}
+    a, b = sets(old), sets(new)
+    sim = {(p, q): len(x & y) / max(len(x), len(y)) for p, x in a.items() for q, y in b.items() if x & y}
+    sim = {k: v for k, v in sim.items() if v >= 0.5}
+    want = {(p, q): round(v, 9) for (p, q), v in sim.items() if (-v, p) == min((-z, i) for (i, j), z in sim.items() if j == q) and (-v, q) == min((-z, j) for (i, j), z in sim.items() if i == p)}
+    assert got == want and len(want) > 8
+    assert changes.similar(frame(old).limit(0), frame(new)).count() == 0
+
+
 def test_applied_changes(spark):
     t = lambda d: datetime(2025, 2, d)
     feed = spark.createDataFrame([(1, "added", "a", None, "r", "s1", t(1), t(1)), (1, "added", "a", None, "r", "s1", t(1), t(2)), (2, "RENAMED", "b", "a", "r", "s2", t(2), t(9)), (3, "DELETED", "c", None, None, "s3", t(3), t(3)), (4, "odd", "d", None, "r", "s4", t(4), t(4))], FEED)

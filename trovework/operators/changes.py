@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trovework.operators.chunks import delete_by, latest
+from trovework.session import cut
 
 KINDS = ("ADDED", "MODIFIED", "DELETED", "RENAMED")
 
@@ -14,7 +15,7 @@ def detect(old: DataFrame, new: DataFrame) -> DataFrame:
     """change_type, file_path and old_path between two snapshots with path and hash.
 
     A deleted and an added file are one rename where they are the only ones of their content; contents that several have, such
-    as that of empty files, say nothing about which became which.
+    as that of empty files, say nothing about which became which. similar() finds renames with changes.
     """
     j = old.select("path", F.col("hash").alias("a")).join(new.select("path", F.col("hash").alias("b")), "path", "full_outer")
     gone, come = j.where("b is null"), j.where("a is null")
@@ -25,6 +26,44 @@ def detect(old: DataFrame, new: DataFrame) -> DataFrame:
     return out.unionByName(rest(gone, "DELETED", "old_path")).unionByName(rest(come, "ADDED", "file_path")).unionByName(moved.select(F.lit("RENAMED").alias("change_type"), "file_path", "old_path"))
 
 
+#: A line in more rows than this, or than this part of all rows, is joined as one of a short list, so that no task gets all its rows.
+HOT, HOT_PART = 100_000, 10_000
+
+
+def _lines(files: DataFrame) -> DataFrame:
+    """path and line, each once, without blanks around and without empty lines."""
+    return files.where("path is not null").select("path", F.explode(F.split("content", "\n")).alias("line")).select("path", F.trim(F.regexp_replace("line", "[\\t\\r]", " ")).alias("line")).where("line != ''").distinct()
+
+
+def similar(old: DataFrame, new: DataFrame, least: float = 0.5) -> DataFrame:
+    """old_path, file_path and similarity of the renames among gone and added files (path and content, in one or more rows a file).
+
+    The similarity is the lines that both have as a part of those of the larger one, at least least. Of two files that are each other's
+    most similar, ties by path, one became the other. Nothing is missed: two files that share enough lines share one of the rarest of
+    either, as many of these as can be left out by the others being shared, so only files that do are compared in full.
+    """
+    rows = _lines(old).withColumn("side", F.lit(0)).unionByName(_lines(new).withColumn("side", F.lit(1)))
+    rows = cut(rows)
+    size = rows.groupBy("side", "path").agg(F.count("*").alias("size"))
+    # lines that one side alone has match nothing; the counts are summed where the rows are
+    counted = cut(rows.groupBy("line").agg(F.count("*").alias("n"), F.min("side").alias("a"), F.max("side").alias("b")).where("a != b").select("line", "n"))
+    limit = max(HOT, rows.count() // HOT_PART)
+    hot = F.broadcast(counted.where(F.col("n") > limit))  # at most HOT_PART lines can be in so many rows
+    marked = rows.join(hot, "line", "left")
+    known = marked.where("n is not null").unionByName(marked.where("n is null").drop("n").join(counted.where(F.col("n") <= limit), "line"))
+    w = Window.partitionBy("side", "path")
+    ranked = known.withColumn("rank", F.row_number().over(w.orderBy("n", "line"))).withColumn("known", F.count("*").over(w)).join(size, ["side", "path"])
+    rare = cut(ranked.where(F.col("rank") <= F.col("known") - F.ceil(F.col("size") * least - 1e-9) + 1).select("side", "path", "line"))
+    of = lambda d, s, name: d.where(f"side = {s}").select(F.col("path").alias(name), "line")
+    pairs = of(rare, 0, "old_path").join(of(rare, 1, "file_path"), "line").select("old_path", "file_path").distinct()
+    shared = pairs.join(of(known, 0, "old_path"), "old_path").join(of(known, 1, "file_path"), ["file_path", "line"]).groupBy("old_path", "file_path").agg(F.count("*").alias("shared"))
+    sized = lambda s, path, name: size.where(f"side = {s}").select(F.col("path").alias(path), F.col("size").alias(name))
+    found = shared.join(sized(0, "old_path", "x"), "old_path").join(sized(1, "file_path", "y"), "file_path").withColumn("similarity", F.col("shared") / F.greatest("x", "y")).where(F.col("similarity") >= least)
+    found = cut(found.select("old_path", "file_path", "similarity"))
+    best = lambda by, other: found.groupBy(by).agg(F.min(F.struct((-F.col("similarity")).alias("s"), other)).alias("r")).select(by, f"r.{other}")
+    return found.join(best("file_path", "old_path"), ["old_path", "file_path"], "left_semi").join(best("old_path", "file_path"), ["old_path", "file_path"], "left_semi")
+
+
 def clean(changes: DataFrame) -> DataFrame:
     """Each change once, its type in upper case; types that aren't known stay out."""
     c = latest(changes, "change_id", F.col("received_at"))

@@ -138,6 +138,14 @@ def snapshot_changes(s: SparkSession, d: str) -> DataFrame:
     return changes.detect(snap(t.where(F.col("created_at") < DAY)), snap(t))
 
 
+def similar_files(s: SparkSession, d: str) -> DataFrame:
+    """Files that began on odd days as the gone ones, those of even days as the added ones: what of one side is the other's in a new place."""
+    t = _chunks(s, d).select(F.col("source_file").alias("path"), "content", "created_at")
+    first = t.groupBy("path").agg((F.dayofmonth(F.min("created_at")) % 2).alias("odd"))
+    side = lambda odd: t.join(first.where(F.col("odd") == odd), "path").select("path", "content")
+    return changes.similar(side(1), side(0)).select("old_path", "file_path", F.round("similarity", 6).alias("similarity"))
+
+
 def file_states(s: SparkSession, d: str) -> DataFrame:
     return changes.last_state(table(s, d, "file_changes")).select("path", "alive")
 

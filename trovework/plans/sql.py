@@ -133,6 +133,10 @@ def queries() -> dict[str, str]:
   come AS (SELECT path, h, count(*) OVER (PARTITION BY h) AS r FROM n WHERE path NOT IN (SELECT path FROM o)), gone AS (SELECT path, h, count(*) OVER (PARTITION BY h) AS r FROM o WHERE path NOT IN (SELECT path FROM n)),
   moved AS (SELECT gone.path AS old_path, come.path AS file_path FROM gone JOIN come USING (h) WHERE gone.r = 1 AND come.r = 1)
   SELECT 'MODIFIED' AS change_type, path AS file_path, NULL AS old_path FROM o JOIN n USING (path) WHERE o.h <> n.h UNION ALL SELECT 'ADDED', path, NULL FROM come WHERE path NOT IN (SELECT file_path FROM moved) UNION ALL SELECT 'DELETED', path, NULL FROM gone WHERE path NOT IN (SELECT old_path FROM moved) UNION ALL SELECT 'RENAMED', file_path, old_path FROM moved""",
+        "similar_files": rf"""WITH {CLEAN}, f AS (SELECT source_file AS path, day(min(created_at)) % 2 AS odd FROM c GROUP BY 1), ln AS (SELECT DISTINCT path, odd, line FROM (SELECT path, odd, trim(regexp_replace(unnest(string_split(content, chr(10))), '[\t\r]', ' ', 'g'), ' ') AS line FROM c JOIN f ON path = source_file) WHERE line <> ''),
+  sz AS (SELECT path, odd, count(*) AS size FROM ln GROUP BY ALL), sh AS (SELECT a.path AS old_path, b.path AS file_path, count(*) AS shared FROM ln a JOIN ln b ON a.line = b.line AND a.odd = 1 AND b.odd = 0 GROUP BY ALL),
+  m AS (SELECT old_path, file_path, shared / greatest(x.size, y.size) AS sim FROM sh JOIN sz x ON x.path = old_path JOIN sz y ON y.path = file_path WHERE shared / greatest(x.size, y.size) >= 0.5)
+  SELECT old_path, file_path, round(sim, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY sim DESC, old_path) AS p, row_number() OVER (PARTITION BY old_path ORDER BY sim DESC, file_path) AS q FROM m) WHERE p = 1 AND q = 1""",
         "file_states": f"WITH {STATE} SELECT path, alive FROM state",
         "applied_changes": f"WITH {CLEAN}, {STATE} SELECT language, count(*) AS n FROM c WHERE source_file NOT IN (SELECT path FROM state WHERE NOT alive) GROUP BY 1",
         "index_states": f"WITH {CHANGES} SELECT repository, commit_sha, changes FROM (SELECT DISTINCT ON (repository) repository, commit_sha FROM ch WHERE repository IS NOT NULL ORDER BY repository, changed_at DESC NULLS LAST, change_id DESC) JOIN (SELECT repository, count(*) AS changes FROM ch GROUP BY 1) USING (repository)",

@@ -124,6 +124,41 @@ def test_blocks_hold_every_query_and_document(spark, tmp_path, monkeypatch):
     assert [x for *_, x in got] == pytest.approx([x for *_, x in sorted(want)], abs=2e-6)
 
 
+def test_words_are_the_terms(spark):
+    """The index's own analyser gives what the column function gives, also for signs of other scripts."""
+    from trovework.functions.text import Words, terms
+
+    r = random.Random(9)
+    signs = "aabXYZz019__  .'’sS\n-ßÄéΣσςĞıİдЖ語自ªǅ²Ⅷ½٣\u0301\u200b𝐀𝟘"
+    texts = ["", "it's the Getter's end's", "getHTTPResponse2xx_v10 XMLs", "a's's b's\n", *("".join(r.choice(signs) for _ in range(r.randint(1, 40))) for _ in range(3000))]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").select("i", terms(F.col("t")).alias("x")).collect()
+    w = Words()
+    assert {x["i"]: x["x"] for x in rows} == {i: [w.terms[n] for n in w.of(t)] for i, t in enumerate(texts)}
+
+
+def test_index_has_a_list_a_term(spark, tmp_path):
+    """No row for each posting is shuffled or written: a block of documents has one list for a term, and rows of a document count together."""
+    rows = [(str(i), "token ledger") for i in range(500)] + [("0", "token ledger"), ("1", "token"), ("2", None)]
+    docs = spark.createDataFrame(rows, "id string, text string").coalesce(1)
+    ix = search.build_index(docs, {"content": F.col("text")}, f"file://{tmp_path}/index")
+    assert ix.lists.count() <= 2 * ix.docs.count()
+    assert values(ix.words, "field", "term", "df", "cf") == [("content", "ledger", 500, 501), ("content", "token", 501, 502)]
+    assert values(ix.stats, "field", "n") == [("content", 501)]
+    assert values(ix.post.where("doc in ('0', '1')"), "doc", "term", "tf") == [("0", "ledger", 2), ("0", "token", 2), ("1", "ledger", 1), ("1", "token", 1), ("1", "token", 1)]
+
+
+def test_queries_in_groups(spark, index, monkeypatch):
+    """Queries whose terms don't fit at once are answered in groups, with filter and fields, and are the same."""
+    q = spark.createDataFrame([(c, t) for c, t in zip("abcdef", ("token ledger", "value", "snapshots", "token", None, "ledger get"))], "query_id string, text string")
+    docs = spark.createDataFrame([("1",), ("3",)], "doc string")
+    ask = lambda: (values(search.keyword_search(index, q), "query_id", "doc", "score"), values(search.keyword_search(index, q, 10, docs), "query_id", "doc"), values(search.field_match(index, q, search.keyword_search(index, q)), "query_id", "doc", "matched_fields"))
+    whole = ask()
+    assert whole[1] == [("a", "1"), ("a", "3"), ("b", "3"), ("d", "1"), ("d", "3"), ("f", "1"), ("f", "3")]
+    assert [x[:2] for x in whole[2]] == [x[:2] for x in whole[0]]
+    monkeypatch.setattr(search, "QUERY_TERMS", 2)
+    assert ask() == whole
+
+
 def test_empty_corpus(spark, tmp_path):
     p = search.build_index(spark.createDataFrame([], "id string, text string"), {"content": F.col("text")}, f"file://{tmp_path}/index")
     q = spark.createDataFrame([("q", "token"), ("r", None), ("s", "")], "query_id string, text string")

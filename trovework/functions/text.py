@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import re
+import sys
+import unicodedata
+from functools import cache
+from itertools import chain
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,6 +51,56 @@ def terms(text: Column) -> Column:
     return F.filter(F.flatten(F.transform(tokens, of)), lambda x: ~F.array_contains(stop, x))
 
 
+@cache
+def _letters(category: str) -> str:
+    """A class of a pattern with the characters of a Unicode category, given by its beginning, as \\p{..} has in Java."""
+    on = [unicodedata.category(chr(c)).startswith(category) for c in range(sys.maxunicode + 1)]
+    edges = [c for c in range(len(on)) if on[c] != (on[c - 1] if c else False)] + [len(on)]
+    return "[" + "".join(f"\\U{x:08x}-\\U{y - 1:08x}" for x, y in zip(edges[::2], edges[1::2])) + "]"
+
+
+class Words(dict):
+    """terms() in Python, for texts in great number: each different token is cut once. Terms are numbers, whose names are in terms."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.terms: list[str] = []
+        self.number: dict[str, int] = {}
+        up, low, any_letter, digit = (_letters(x) for x in ("Lu", "Ll", "L", "N"))
+        self.cuts = [re.compile(p) for p in (f"({low})({up})", f"({up})({up}{low})", f"({any_letter})({digit})", f"({digit})({any_letter})")]
+        # \w are the letters, numbers and the underscore
+        self.tokens, self.possessive, self.stop = re.compile(r"\w+").findall, re.compile(r"([^\W_])['’][sS]($|[^\w])"), {*STOP_WORDS}
+
+    def split(self, token: str) -> list[str]:
+        t = token
+        for p in self.cuts:
+            t = p.sub(r"\1 \2", t)
+        parts, whole = [x for x in re.split("[ _]+", t.lower()) if x], token.lower()
+        return [x for x in ([whole, *(x for x in dict.fromkeys(parts) if len(x) > 1 and x != whole)] if len(parts) > 1 else [whole]) if x not in self.stop]
+
+    def __missing__(self, token: str) -> tuple[int, ...]:
+        got = []
+        for x in self.split(token):
+            if (n := self.number.get(x)) is None:
+                n = self.number[x] = len(self.terms)
+                self.terms.append(x)
+            got.append(n)
+        self[token] = got = tuple(got)
+        return got
+
+    def of(self, text: str) -> list[int]:
+        """The numbers of the terms of a text, in order."""
+        if "'" in text or "’" in text:
+            text = self.possessive.sub(r"\1\2", text)
+        return list(chain.from_iterable(map(self.__getitem__, self.tokens(text))))
+
+    def bound(self, most: int = 500_000) -> None:
+        """Begins anew once there are more tokens than most; numbers given before are void then."""
+        if len(self) > most:
+            self.clear()
+            self.number, self.terms = {}, []
+
+
 def repository_of(path: Column) -> Column:
     """The repository of a file by its path, in lower case; a name has two characters at least and no dot.
 

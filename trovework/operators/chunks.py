@@ -51,7 +51,8 @@ def latest(rows: DataFrame, key: str, *order: Column) -> DataFrame:
     """One row a key, the greatest by order: an aggregation with partial maxima, so a key with many rows is no burden on one task."""
     cols = rows.columns
     best = F.max(F.struct(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]).alias("o"), F.struct(*cols).alias("r"))).alias("b")
-    return rows.groupBy(F.col(key).alias("_k")).agg(best).select("b.r.*")
+    # the key is the group's own, by which Spark knows that the rows are partitioned
+    return rows.groupBy(F.col(key).alias("_k")).agg(best).select(*[F.col("_k").alias(c) if c == key else F.col(f"b.r.`{c}`").alias(c) for c in cols])
 
 
 def clean(chunks: DataFrame) -> DataFrame:

@@ -36,7 +36,9 @@ def _with_summaries(s: SparkSession, d: str) -> DataFrame:
     """The chunks with the summary that search results have of them, the first in order."""
     place = ["source_file", "entity_name", "start_line", "end_line"]
     said = table(s, d, "search_results").where("trim(doc_summary) != ''").groupBy(*place).agg(F.min("doc_summary").alias("doc_summary"))
-    return _chunks(s, d).join(said, place, "left")
+    c = chunks.clean(_raw(s, d).withColumn("own", F.col("id")))
+    # places are joined without contents, which stay where they are by id; a filter on own can't be pushed below the rows' shuffle, so it is one for both
+    return c.drop("own").join(c.select(F.col("own").alias("id"), *place).join(said, place).select("id", "doc_summary"), "id", "left")
 
 
 FIELDS = ("content", "entity_name", "doc_summary")
@@ -174,7 +176,7 @@ def term_statistics(s: SparkSession, d: str) -> DataFrame:
 def index_build(s: SparkSession, d: str) -> DataFrame:
     """Builds the index anew: the postings, terms and occurrences of each field."""
     built = search.build_index(_with_summaries(s, d), {c: F.col(c) for c in FIELDS}, new_folder(s, "index"))
-    return built.post.groupBy("field").agg(F.count("*").alias("postings"), F.countDistinct("term").alias("terms"), F.sum("tf").alias("occurrences"), F.max("df").alias("most_df"))
+    return built.words.groupBy("field").agg(F.sum("df").alias("postings"), F.count("*").alias("terms"), F.sum("cf").alias("occurrences"), F.max("df").alias("most_df"))
 
 
 def field_statistics(s: SparkSession, d: str) -> DataFrame:

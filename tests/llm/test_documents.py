@@ -128,6 +128,14 @@ def test_nearest_by_brute_force(index):
             assert abs(score[k] - exact) < 1e-5 if score[k] else exact < offence.THRESHOLD
 
 
+def test_scores_below_the_threshold_are_exact(index):
+    lists = [offence.words(offence.plain(x)) for x in (*GOOD, *BAD, "the worker is a table of rows and you are here")]
+    yes, no, _ = index.masses(lists)
+    exact = [y / (y + n + (offence.NOBODY_SHORT if len(t) < offence.LEAST else offence.NOBODY)) for y, n, t in zip(yes, no, lists)]
+    assert index.scores(lists)[0] == pytest.approx(exact, abs=1e-12)
+    assert any(0 < x < offence.THRESHOLD for x in exact)
+
+
 def test_every_sentence_counts():
     """Short sentences, remarks of code, lines that only look like code, and words joined by underscores."""
     s = offence.sentences("You idiot!\nx = f(1)  # you are an idiot, go away\nYou are a worthless idiot, your parse() is vermin.\nyou_are_an_idiot\nfor (int i = 0; i < n; i++) {")

@@ -3,8 +3,7 @@
 Texts are cut into sentences. Labelled sentences are indexed by TF-IDF over words, pairs of words and character
 n-grams; the index is inverted, its postings in blocks of labelled sentences with the greatest weight of each feature
 in each block. For the sentences of a batch the blocks' bounds are computed first, and a block is scored, exactly,
-only where its bound can still reach the K nearest (block-max pruning); sentences whose votes for flagged, all
-counted, can't reach the threshold are passed over. The votes of the nearest, weighted by similarity, give the
+only where its bound can still reach the K nearest (block-max pruning), so every sentence's score is exact. The votes of the nearest, weighted by similarity, give the
 sentence's score, and the greatest of its sentences the document's, with that sentence and its nearest example as
 evidence. A document's score depends on the labels alone, not on what other documents there are.
 
@@ -197,9 +196,6 @@ class Index:
         self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0, np.float32)
         self.pieces = np.searchsorted(row[first], np.arange(len(self.vocabulary) + 1))
         self.blocks = -(-n // block)
-        # the blocks with a vote for flagged come first; where each feature's pieces in these end
-        self.for_it = -(-int(np.flatnonzero(self.label > 0).max(initial=-1) + 1) // block)
-        self.pieces_for_it = self.pieces[:-1] + np.bincount(np.repeat(np.arange(len(self.vocabulary)), np.diff(self.pieces)), weights=self.piece_block < self.for_it, minlength=len(self.vocabulary)).astype(np.int64)
         self.by_length: dict[int, list[str]] = defaultdict(list)
         for w in sorted({w for t, y in examples if y > 0.5 for w in t if w.isalpha()}):
             self.by_length[len(w)].append(w)
@@ -263,26 +259,6 @@ class Index:
             got = self._sorted(*[np.concatenate(x) for x in zip(got, rest)])
         return tuple(x[_rank(got[0]) < K] for x in got)
 
-    def within_reach(self, lists: list[list[str]], nobody: np.ndarray) -> np.ndarray:
-        """Whether the votes of the K nearest that have a vote for flagged would, all counted, reach the threshold.
-
-        Only these are scored, and only where a block's bound leaves it open. Where they don't, no further neighbour can change it.
-        """
-        n, need = len(lists), nobody * THRESHOLD / (1 - THRESHOLD)
-        where, row, v = self._weighted(lists)
-        size = self.pieces_for_it[row] - self.pieces[row]
-        piece, q, v = _ranges(self.pieces[row], size), np.repeat(where, size), np.repeat(v, size)
-        cell = q * self.for_it + self.piece_block[piece]
-        bound = np.bincount(cell, weights=v * self.most[piece], minlength=n * self.for_it)
-        # a block of less than so much can't matter where all are: K votes of its bound fall short
-        open_to = (bound.reshape(n, self.for_it).max(axis=1, initial=0.0) ** 2 * K >= need) if self.for_it else np.zeros(n, dtype=bool)
-        q, j, s = self._scored(np.repeat(open_to, self.for_it) & (bound > 0), cell, piece, v, self.for_it, None)
-        vote = s * s * self.label[j]
-        order = np.lexsort((-vote, q))
-        q, vote = q[order], vote[order]
-        best = _rank(q) < K
-        return np.bincount(q[best], weights=vote[best], minlength=n) >= need - 1e-9
-
     def _scored(self, chosen: np.ndarray, cell: np.ndarray, piece: np.ndarray, v: np.ndarray, blocks: int, leave: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         number = np.cumsum(chosen) - 1
         cells = np.flatnonzero(chosen)
@@ -318,16 +294,12 @@ class Index:
     def scores(self, lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """(score, nearest flagged example) of each list: the share of the votes for flagged, with a small vote of nobody against.
 
-        The score is exact where it can reach the threshold and 0 where it provably can't.
+        Every score is exact, whether it reaches the threshold or not.
         """
-        score, example = np.zeros(len(lists)), np.full(len(lists), -1)
         words_of = np.array([sum(len(w) // 2 if not w.isascii() and _SIGNS.search(w) else 1 for w in t) for t in lists])
         nobody = np.where(words_of < LEAST, NOBODY_SHORT, NOBODY)
-        step = max(1, 4_000_000 // max(1, self.for_it * self.block))
-        near = np.concatenate([np.flatnonzero(self.within_reach(lists[k : k + step], nobody[k : k + step])) + k for k in range(0, len(lists), step)] or [np.zeros(0, np.int64)])
-        yes, no, found = self.masses([lists[k] for k in near])
-        score[near], example[near] = yes / (yes + no + nobody[near]), found
-        return score, example
+        yes, no, example = self.masses(lists)
+        return yes / (yes + no + nobody), example
 
 
 #: The weight of the vote that nobody casts: sentences that are like no example stay unflagged. In a sentence of fewer than LEAST words (two

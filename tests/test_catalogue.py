@@ -35,3 +35,14 @@ def test_queries_equal_their_sql(spark):
         names = [x[0] for x in r.description]
         assert sorted(names) == cols, name
         assert got == sorted(repr([plain(x[names.index(c)]) for c in cols]) for x in r.fetchall()), name
+
+
+def test_modes_share_their_legs(spark, monkeypatch):
+    """A comparison of modes searches by words once, not once for each mode."""
+    from trovework.operators import search
+    from trovework.plans import catalogue
+
+    calls, real = [], search.keyword_search
+    monkeypatch.setattr(search, "keyword_search", lambda *x, **y: calls.append(x) or real(*x, **y))
+    assert catalogue.mode_comparison(spark, DIR).count() > 0
+    assert len(calls) == 1

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from trovework.functions import scores, text
 from trovework.operators import changes, chunks, entities, graph, metrics, rag, search
 from trovework.plans import sql
-from trovework.session import new_folder, table
+from trovework.session import new_folder, table, written
 from trovework.sources import repositories
 
 #: The day that parts the chunks into an old and a new snapshot.
@@ -260,32 +260,37 @@ def nearest_by_cells_recall(s: SparkSession, d: str) -> DataFrame:
     return search.recall(search.nearest(v, _vector_queries(v), 10, threshold=-1.0), found).select("pairs", (F.col("recall") >= 0.9).alias("enough"))
 
 
-def _hybrid(s: SparkSession, d: str, mode: str) -> DataFrame:
+def _legs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Documents by words and by vector: each document and vector whose id is divisible by 20 is a query."""
     v = table(s, d, "embeddings").join(table(s, d, "documents").where("text is not null").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
-    keyword = search.keyword_search(_documents_index(s, d), _queries(s, d), 10)
-    return search.hybrid(keyword, search.nearest(v, _vector_queries(v), 10), mode).select("query_id", "doc", F.round("score", 4).alias("score"), "both")
+    return search.keyword_search(_documents_index(s, d), _queries(s, d), 10), search.nearest(v, _vector_queries(v), 10)
+
+
+def _hybrid(legs: tuple[DataFrame, DataFrame], mode: str) -> DataFrame:
+    return search.hybrid(*legs, mode).select("query_id", "doc", F.round("score", 4).alias("score"), "both")
 
 
 def hybrid_search(s: SparkSession, d: str) -> DataFrame:
-    return _hybrid(s, d, "hybrid")
+    return _hybrid(_legs(s, d), "hybrid")
 
 
 def hybrid_keyword_mode(s: SparkSession, d: str) -> DataFrame:
-    return _hybrid(s, d, "keyword")
+    return _hybrid(_legs(s, d), "keyword")
 
 
 def hybrid_vector_mode(s: SparkSession, d: str) -> DataFrame:
-    return _hybrid(s, d, "vector")
+    return _hybrid(_legs(s, d), "vector")
 
 
 def _quality(s: SparkSession, d: str) -> DataFrame:
     """The share at 10 of each query and mode, where the documents whose vectors have the query's label are relevant."""
     v = table(s, d, "embeddings").select("vec_id", "label")
     relevant = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label").join(v, "label").select("query_id", F.col("vec_id").alias("doc"))
+    # each leg is searched once for all modes
+    legs = tuple(written(x.select("query_id", "doc", "score"), "leg") for x in _legs(s, d))
     out = None
     for mode in ("keyword", "vector", "hybrid"):
-        q = metrics.ranked_quality(search.top(_hybrid(s, d, mode), 10), relevant, (10,)).select("query_id", F.lit(mode).alias("mode"), F.round("p_at_10", 6).alias("p_at_10"))
+        q = metrics.ranked_quality(search.top(_hybrid(legs, mode), 10), relevant, (10,)).select("query_id", F.lit(mode).alias("mode"), F.round("p_at_10", 6).alias("p_at_10"))
         out = q if out is None else out.unionByName(q)
     return out
 

@@ -147,6 +147,22 @@ def test_index_has_a_list_a_term(spark, tmp_path):
     assert values(ix.post.where("doc in ('0', '1')"), "doc", "term", "tf") == [("0", "ledger", 2), ("0", "token", 2), ("1", "ledger", 1), ("1", "token", 1), ("1", "token", 1)]
 
 
+def test_texts_of_stored_documents_are_not_shuffled(spark, tmp_path, monkeypatch):
+    """Only rows whose key is in several rows are shuffled with their texts; the index is the same."""
+    rows = [(str(i), f"token ledger w{chr(97 + i % 20)}") for i in range(200)] + [("0", "token ledger wa"), ("1", "token"), (None, "ledger"), (None, "ledger token"), ("2", None)]
+    spark.createDataFrame(rows, "id string, text string").repartition(3).write.parquet(f"file://{tmp_path}/docs")
+    docs, fields = spark.read.parquet(f"file://{tmp_path}/docs"), {"content": F.col("text")}
+    plan = lambda d: search._gathered(d, fields, "id", True)._jdf.queryExecution().sparkPlan().toString()
+    assert "ObjectHashAggregate" not in plan(docs.where("id > '3'")) and "LeftSemi" in plan(docs)
+    seen = []
+    for name, stored, most in (("all", False, 9), ("some", True, 9), ("many", True, 1)):
+        monkeypatch.setattr(search, "MOST_REPEATED", most)
+        ix = search.build_index(docs, fields, f"file://{tmp_path}/{name}", stored=stored)
+        seen.append((values(ix.words, "field", "term", "df", "cf"), values(ix.stats, "field", "n", "avgdl"), sorted(values(ix.post.fillna("none"), "doc", "term", "tf"))))
+    assert seen[0] == seen[1] == seen[2]
+    assert search.build_index(docs.limit(0), fields, f"file://{tmp_path}/none", stored=True).blocks.count() == 0
+
+
 def test_lists_are_not_shuffled(spark, index):
     """A block is one row from the task that made it to the task that searches it; only the best documents of each task are shuffled."""
     assert index.blocks.count() == index.docs.count()

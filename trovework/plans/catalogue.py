@@ -66,7 +66,7 @@ def _index(s: SparkSession, d: str) -> search.Index:
 def _documents_index(s: SparkSession, d: str) -> search.Index:
     key = (s.sparkContext.applicationId, *_changed(s, d, "documents"))
     if key not in _BUILT:
-        _BUILT[key] = search.build_index(table(s, d, "documents").where("text is not null"), {"content": F.col("text")}, new_folder(s, "index"), "doc_id")
+        _BUILT[key] = search.build_index(table(s, d, "documents").where("text is not null"), {"content": F.col("text")}, new_folder(s, "index"), "doc_id", stored=True)
     return _BUILT[key]
 
 

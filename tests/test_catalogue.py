@@ -46,3 +46,21 @@ def test_modes_share_their_legs(spark, monkeypatch):
     monkeypatch.setattr(search, "keyword_search", lambda *x, **y: calls.append(x) or real(*x, **y))
     assert catalogue.mode_comparison(spark, DIR).count() > 0
     assert len(calls) == 1
+
+
+def test_a_mode_searches_its_own_leg(spark, monkeypatch):
+    from trovework.operators import search
+    from trovework.plans import catalogue
+
+    def refuse(*x, **y):
+        raise AssertionError("the mode leaves this leg out")
+
+    monkeypatch.setattr(catalogue, "_BUILT", {})
+    with monkeypatch.context() as m:
+        m.setattr(search, "nearest", refuse)
+        assert catalogue.hybrid_keyword_mode(spark, DIR).count() > 0
+    with monkeypatch.context() as m:
+        m.setattr(catalogue, "_BUILT", {})
+        m.setattr(search, "build_index", refuse)
+        m.setattr(search, "keyword_search", refuse)
+        assert catalogue.hybrid_vector_mode(spark, DIR).count() > 0

@@ -260,10 +260,15 @@ def nearest_by_cells_recall(s: SparkSession, d: str) -> DataFrame:
     return search.recall(search.nearest(v, _vector_queries(v), 10, threshold=-1.0), found).select("pairs", (F.col("recall") >= 0.9).alias("enough"))
 
 
-def _legs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Documents by words and by vector: each document and vector whose id is divisible by 20 is a query."""
+def _word_leg(s: SparkSession, d: str) -> DataFrame:
+    """Documents by words: each document whose id is divisible by 20 is a query."""
+    return search.keyword_search(_documents_index(s, d), _queries(s, d), 10)
+
+
+def _vector_leg(s: SparkSession, d: str) -> DataFrame:
+    """Documents by vector: each document's vector whose id is divisible by 20 is a query."""
     v = table(s, d, "embeddings").join(table(s, d, "documents").where("text is not null").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
-    return search.keyword_search(_documents_index(s, d), _queries(s, d), 10), search.nearest(v, _vector_queries(v), 10)
+    return search.nearest(v, _vector_queries(v), 10)
 
 
 def _hybrid(legs: tuple[DataFrame, DataFrame], mode: str) -> DataFrame:
@@ -271,15 +276,18 @@ def _hybrid(legs: tuple[DataFrame, DataFrame], mode: str) -> DataFrame:
 
 
 def hybrid_search(s: SparkSession, d: str) -> DataFrame:
-    return _hybrid(_legs(s, d), "hybrid")
+    return _hybrid((_word_leg(s, d), _vector_leg(s, d)), "hybrid")
 
 
 def hybrid_keyword_mode(s: SparkSession, d: str) -> DataFrame:
-    return _hybrid(_legs(s, d), "keyword")
+    """The leg that the mode leaves out isn't searched; the same holds for the vector mode, which needs no index."""
+    leg = _word_leg(s, d)
+    return _hybrid((leg, leg.limit(0)), "keyword")
 
 
 def hybrid_vector_mode(s: SparkSession, d: str) -> DataFrame:
-    return _hybrid(_legs(s, d), "vector")
+    leg = _vector_leg(s, d)
+    return _hybrid((leg.limit(0), leg), "vector")
 
 
 def _quality(s: SparkSession, d: str) -> DataFrame:
@@ -287,7 +295,7 @@ def _quality(s: SparkSession, d: str) -> DataFrame:
     v = table(s, d, "embeddings").select("vec_id", "label")
     relevant = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label").join(v, "label").select("query_id", F.col("vec_id").alias("doc"))
     # each leg is searched once for all modes
-    legs = tuple(written(x.select("query_id", "doc", "score"), "leg") for x in _legs(s, d))
+    legs = tuple(written(x.select("query_id", "doc", "score"), "leg") for x in (_word_leg(s, d), _vector_leg(s, d)))
     out = None
     for mode in ("keyword", "vector", "hybrid"):
         q = metrics.ranked_quality(search.top(_hybrid(legs, mode), 10), relevant, (10,)).select("query_id", F.lit(mode).alias("mode"), F.round("p_at_10", 6).alias("p_at_10"))
